@@ -35,8 +35,8 @@ def spread_join(
     how: str = "inner",
     sizes: DataFrame | None = None,
     at_most: int | None = None,
-    share: int = HOT,
-    rows: int = HOT_ROWS,
+    share: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Equi-join in which the rows of a hot key of ``many`` are spread over several tasks.
 
@@ -46,6 +46,7 @@ def spread_join(
     where the rows per key are known. Where ``many`` has ``at_most`` so few rows that no key can be
     hot, known for a stored table, it is a plain join.
     """
+    share, rows = share or HOT, rows or HOT_ROWS
     if at_most is None:
         at_most = stored_rows(many)
     if at_most is not None and at_most <= rows:
