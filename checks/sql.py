@@ -39,7 +39,7 @@ PARTS: dict[str, tuple[list[str], str]] = {
     "reads": ([], """
         SELECT event_id, ts, user_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS doc_id
         FROM events WHERE event_type IN ('view', 'click')
-            AND TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NOT NULL AND user_id IS NOT NULL"""),
+            AND TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL"""),
     "read_pairs": (["reads"], """
         SELECT user_id, doc_id, count(*) AS n FROM reads GROUP BY user_id, doc_id"""),
     "marked": (["reads"], """

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pressroom.operators import duplicates, interest, keywords, learned, reading, recommend, summary, topics
 from pressroom.plans import feed
 from pressroom.plans.scratch import keep
+from pressroom.plans.skew import spread_join
 from pressroom.sources import tables
 
 
@@ -80,9 +81,9 @@ def _perspectives(s: Steps) -> DataFrame:
 
 def _limit_feed(s: Steps) -> DataFrame:
     found, kw, _ = s.topics()
-    pool = recommend.recommend(s.interest(kw), kw, s.reads, n=50).drop("rk")
+    pool = keep(recommend.recommend(s.interest(kw), kw, s.reads, n=50).drop("rk"))
     labels = s.docs.select("doc_id", "source").join(found, "doc_id")
-    return feed.limit_feed(pool.join(labels, "doc_id"))
+    return feed.limit_feed(spread_join(pool, labels, ["doc_id"], by="user_id"))
 
 
 _QUERIES: dict[str, Callable[[Steps], DataFrame]] = {

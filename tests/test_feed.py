@@ -15,7 +15,7 @@ def test_feed_leaves_out_copies_of_what_was_read(articles, reads, rows):
     docs = articles(
         (0, story, "en", "a"), (1, story + " again", "en", "b"), (2, story, "en", "c"),
         (3, "coast guard and harbour police train together", "en", "b"),
-        (4, "football cup final tonight", "en", "a"),
+        (4, "football cup final tonight", None, "a"),
     )
     feed = curated_feed(docs, reads((1, 0, 2), (2, 0, 4)))
     assert rows(feed, "user_id", "rank", "doc_id") == [(1, 1, 3), (1, 2, 4), (2, 1, 0)]
