@@ -9,6 +9,7 @@ from pressroom.llm import sql
 from pressroom.llm.decontaminate import contamination
 from pressroom.llm.exact import exact_groups
 from pressroom.llm.mixing import mixed_documents
+from pressroom.llm.near import near_groups
 from pressroom.llm.rows import documents
 
 
@@ -35,10 +36,15 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed_documents(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_groups(documents(spark, folder), percent=85, width=3)
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
     "op6_mixing": op6_mixing,
+    "op7_near_dedup": op7_near_dedup,
 }
 
 
@@ -47,4 +53,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": sql.OP1, "op2_exact_dedup": sql.OP2, "op6_mixing": sql.OP6}
+    return {"op1_decontamination": sql.OP1, "op2_exact_dedup": sql.OP2, "op6_mixing": sql.OP6, "op7_near_dedup": sql.OP7}

@@ -130,3 +130,28 @@ taken as (
 select doc_id, o.size, source_size, target, case when o.size > 0 then coalesce(taken, 0) else 0 end::bigint as taken
 from offs o join sources using (sid) left join taken using (sid, off)
 """
+
+# All pairs that share a shingle, counted in full; then the smallest id that can be reached.
+OP7 = rf"""
+with recursive w as materialized (
+  select doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') as w from documents
+),
+g as materialized (
+  select distinct doc_id, array_to_string(w[p + 1:p + 3], ' ') as g
+  from (select doc_id, w, unnest(range(0, greatest(len(w) - 2, 1))) as p from w where len(w) > 0)
+),
+n as materialized (select doc_id, count(*) as n from g group by 1),
+pairs as materialized (
+  select i, j from (select a.doc_id as i, b.doc_id as j, count(*) as o from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2)
+  join n x on x.doc_id = i join n y on y.doc_id = j
+  where 100 * o >= 85 * (x.n + y.n - o)
+),
+links as materialized (select i, j from pairs union all select j, i from pairs),
+reach(doc_id, r) as (
+  select doc_id, doc_id from documents
+  union
+  select reach.doc_id, links.j from reach join links on links.i = reach.r
+)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept
+from (select doc_id, min(r) as component_id from reach group by 1) left join n using (doc_id)
+"""
