@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from pressroom.llm import sql
 from pressroom.llm.decontaminate import contamination
 from pressroom.llm.exact import exact_groups
+from pressroom.llm.html_main import extract_main
+from pressroom.llm.langid import FOLDS, HELD_OUT, predict_languages
+from pressroom.llm.licenses import licence_names, license_scan
+from pressroom.llm.lm import held_out, likelihoods
 from pressroom.llm.mixing import mixed_documents
 from pressroom.llm.near import near_groups
-from pressroom.llm.rows import documents
+from pressroom.llm.quality import GOOD, quality_scores
+from pressroom.llm.rows import crc_fold, documents
+from pressroom.llm.token_counts import token_counts
 
 
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,6 +38,23 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(documents(spark, folder))
+
+
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    held = F.coalesce(crc_fold("doc_id", FOLDS) == HELD_OUT, F.lit(False))
+    return quality_scores(documents(spark, folder), labels).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted")
+    )
+
+
+def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    return extract_main(pages).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed_documents(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -40,11 +63,32 @@ def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(documents(spark, folder), percent=85, width=3)
 
 
+def op8_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return likelihoods(docs, docs.filter(~held_out())).withColumn("held_out", held_out())
+
+
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    held = F.coalesce(crc_fold("doc_id", FOLDS) == HELD_OUT, F.lit(False))
+    return predict_languages(documents(spark, folder)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan(documents(spark, folder))
+    return found.select("doc_id", "n_sentences", F.size("matches").cast("bigint").alias("n_matches"), licence_names().alias("licenses"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_token_counts": op3_token_counts,
+    "op4_quality": op4_quality,
+    "op5_html_text": op5_html_text,
     "op6_mixing": op6_mixing,
     "op7_near_dedup": op7_near_dedup,
+    "op8_language_model": op8_language_model,
+    "op9_language_id": op9_language_id,
+    "op10_licenses": op10_licenses,
 }
 
 
