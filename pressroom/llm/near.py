@@ -9,10 +9,9 @@ than a shingle has its whole sequence as one, a text without words has an empty
    85 % has no band in common with a probability of 1 in 80,000.
 2. Equal sets are one class with its smallest id from here on; copies are never paired.
 3. Classes with a band in common are candidates. Small bands are paired in full. In a large one,
-   classes are compared with the class that has the most copies, then with classes drawn anew, and
-   only where they are not linked already, so a large group of near copies costs a few pairs for
-   each member. What is still apart after that is left to an exact prefix filter (``apart_pairs``):
-   no band is too large to be finished, and none is cut short.
+   classes are compared with the class that has the most copies, so a large group of near copies costs
+   a pair for each member. What is still apart after that is left to an exact prefix filter
+   (``apart_pairs``): no band is too large to be finished, and none is cut short.
 4. Candidates whose signatures agree in fewer than ``percent`` less ``MARGIN`` points are dropped (five
    standard deviations); for the others the full sets are compared.
 5. Linked classes are joined by large-star and small-star.
@@ -38,7 +37,6 @@ from pressroom.plans.skew import spread_join
 BANDS, ROWS = 24, 6
 MARGIN = 15
 SMALL_BAND = 8
-PIVOT_ROUNDS = 3
 # Shingles that are hashed at a time.
 BLOCK = 1 << 15
 
@@ -191,41 +189,70 @@ class NearGroups:
         apart = keep(apart.filter("x <> y").select("band", "rows"))
         return keep(spread_join(now, apart, ["band"], by="rep", sizes=apart).drop("rows"))
 
-    def pivot_pairs(self, cells: DataFrame, turn: int) -> DataFrame:
-        """Each class of a large band with one class of it, another one in each turn."""
-        order = F.struct(-F.col("copies") if turn == 0 else F.xxhash64("rep", "band", F.lit(turn)), "rep")
+    def pivot_pairs(self, cells: DataFrame) -> DataFrame:
+        """Each class of a large band with the class of it that has the most copies."""
+        order = F.struct(-F.col("copies"), "rep")
         pivots = cells.groupBy("band").agg(F.min_by(F.struct("rep", "n", "label"), order).alias("p"))
         pivots = keep(pivots.select("band", F.col("p.rep").alias("p"), F.col("p.n").alias("np"), F.col("p.label").alias("lp")))
         met = spread_join(cells, pivots, ["band"], by="rep").filter("label <> lp").filter(_fits("n", "np", self.percent))
         return met.select(F.least("rep", "p").alias("i"), F.greatest("rep", "p").alias("j"))
 
+    def deltas(self, cells: DataFrame) -> DataFrame:
+        """``cluster, rep, n, label, p, gd``: each class with what it and the pivot of its cluster do not share.
+
+        A cluster is what bands hold together; its pivot is the class with the most copies. For any
+        pivot, two sets differ in exactly those shingles in which their differences to it differ.
+        """
+        centre = F.min_by("rep", F.struct(-F.col("copies"), "rep"))
+        pivots = keep(cells.groupBy("band").agg(centre.alias("b")))
+        edges = spread_join(cells.select("band", F.col("rep").alias("a")), pivots, ["band"], by="a").select("a", "b")
+        clusters = components(edges.distinct()).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+        nodes = keep(cells.select("rep", "n", "copies", "label").distinct().join(clusters, "rep"))
+        pivots = nodes.groupBy("cluster").agg(centre.alias("p"))
+        sets = self.sets.withColumnRenamed("doc_id", "rep")
+        pivots = keep(pivots.join(sets.select(F.col("rep").alias("p"), F.col("gs").alias("gp")), "p"))
+        placed = spread_join(nodes.join(sets, "rep"), pivots, ["cluster"], by="rep", at_most=stored_rows(nodes))
+        differ = F.concat(F.array_except("gs", "gp"), F.array_except("gp", "gs"))
+        return placed.select("cluster", "rep", "n", "label", "p", differ.alias("gd"), F.size("gp").alias("np"))
+
     def apart_pairs(self, cells: DataFrame) -> DataFrame:
         """Pairs of classes in different components that could be linked, by an exact prefix filter.
 
-        Only shingles that two components share count. In one order of these, rare ones first, two
-        linked classes share one of the first ``n - need + 1``, where the shingles nobody else has come
-        first of all: a class with too many of its own drops out, however many classes look like it.
+        Sets of similarity t differ in at most (1 - t) / (1 + t) of the sum of their sizes. Counted by their
+        differences to a pivot, ``d`` and ``d'`` shingles, they must share ``need`` of these, which is nothing
+        only where both are linked to the pivot. So classes near the pivot are paired with it, and the
+        others through the rarest shingles of their differences. Near copies that differ from a common text
+        in places of their own share few of them and drop out, however many there are.
         """
-        nodes = keep(cells.select("rep", "n", "label").distinct())
-        items = nodes.join(self.sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "n", "label", F.explode("gs").alias("g"))
-        shared = items.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows"))
-        shared = keep(shared.filter("x <> y").select("g", "rows"))
+        most, least = 100 + self.percent, 100 - self.percent
+        found = keep(self.deltas(cells).withColumn("d", F.size("gd")).withColumn("q", F.expr(f"{most} * d - {least} * n")))
+        near = found.filter(f"rep <> p and {most} * d <= {least} * (n + np)")
+        near = near.select(F.least("rep", "p").alias("i"), F.greatest("rep", "p").alias("j"))
+
+        items = found.select("cluster", "rep", "n", "label", "d", "q", F.explode("gd").alias("g"))
+        shared = items.groupBy("cluster", "g").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows"))
+        shared = keep(shared.filter("x <> y").select("cluster", "g", "rows"))
+        lowest = keep(found.groupBy("cluster").agg(F.min("q").alias("q0")))
         in_doc = Window.partitionBy("rep")
         heads = keep(
-            spread_join(items, shared, ["g"], by="rep", sizes=shared)
-            .withColumn("m", F.count("*").over(in_doc))
-            .filter(f"100 * m >= {self.percent} * n")
-            .withColumn("rk", F.row_number().over(in_doc.orderBy("rows", "g")))
-            .filter(F.expr(f"n - m + rk <= n - (n * {self.percent} + 99) div 100 + 1"))
-            .select("g", "rep", "n", "m", "label")
+            spread_join(items, shared, ["cluster", "g"], by="rep", sizes=shared)
+            .withColumn("s", F.count("*").over(in_doc))
+            .withColumn("rk", F.col("d") - F.col("s") + F.row_number().over(in_doc.orderBy("rows", "g")))
+            .join(lowest, "cluster")
+            # as the one farther from the pivot of a pair, and as the nearer one
+            .withColumn("far", F.expr(f"rk <= d - greatest(1, ceil((q + q0) / {2 * most})) + 1"))
+            .withColumn("nigh", F.expr(f"rk <= d - greatest(1, ceil(q / {most})) + 1"))
+            .filter("far or nigh")
+            .select("cluster", "g", "rep", "n", "s", "q", "label", "far", "nigh")
         )
-        i = heads.select("g", F.col("rep").alias("i"), F.col("n").alias("ni"), F.col("m").alias("mi"), F.col("label").alias("li"))
-        j = heads.select("g", F.col("rep").alias("j"), F.col("n").alias("nj"), F.col("m").alias("mj"), F.col("label").alias("lj"))
+        side = lambda k: heads.select("cluster", "g", *[F.col(c).alias(c + k) for c in ("rep", "n", "s", "q", "label", "far", "nigh")])
         could = (
-            (F.col("i") < F.col("j")) & (F.col("li") != F.col("lj")) & _fits("ni", "nj", self.percent)
-            & F.expr(f"{100 + self.percent} * least(mi, mj) >= {self.percent} * (ni + nj)")
+            (F.struct("qi", "repi") > F.struct("qj", "repj")) & (F.col("labeli") != F.col("labelj"))
+            & _fits("ni", "nj", self.percent) & F.expr(f"qi + qj <= {2 * most} * least(si, sj)")
         )
-        return spread_join(i, j, ["g"], by="i", on=could, at_most=stored_rows(heads)).select("i", "j")
+        far, nigh = side("i").filter("fari"), side("j").filter("nighj")
+        met = spread_join(far, nigh, ["cluster", "g"], by="repi", on=could, at_most=stored_rows(heads))
+        return near.unionByName(met.select(F.least("repi", "repj").alias("i"), F.greatest("repi", "repj").alias("j")))
 
     def test(self, pairs: DataFrame) -> None:
         """Compare the pairs not compared before; add links and join components."""
@@ -264,13 +291,10 @@ class NearGroups:
     def run(self) -> DataFrame:
         """``doc_id, n_shingles, component_id`` for every row."""
         if stored_rows(self.cells):
+            self.test(self.small_pairs().unionByName(self.pivot_pairs(self.open_cells())))
             cells = self.open_cells()
-            self.test(self.small_pairs().unionByName(self.pivot_pairs(cells, 0)))
-            for turn in range(1, PIVOT_ROUNDS + 1):
-                cells = self.open_cells()
-                if not stored_rows(cells):
-                    break
-                self.test(self.pivot_pairs(cells, turn) if turn < PIVOT_ROUNDS else self.apart_pairs(cells))
+            if stored_rows(cells):
+                self.test(self.apart_pairs(cells))
         keys = self.sketches.select("doc_id", "n", "k1", "k2")
         classes = self.classes
         if self.linked is not None:
