@@ -19,7 +19,7 @@ each get their result. Empty tables give empty results or no hits. Only ``doc_id
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressroom.llm.rows import UPPER, ascii_lower, row_key
+from pressroom.llm.rows import UPPER, ascii_lower, row_key, without
 from pressroom.plans.scratch import keep
 
 # Fixed value: a word before A-Z are lower-cased.
@@ -121,5 +121,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadc
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """``docs`` without the rows that hold a benchmark window, all columns as they were."""
-    gone = occurrences(docs, benchmark, width).select(F.col("row").alias("__row")).distinct()
-    return docs.withColumn("__row", row_key()).join(keep(gone), "__row", "left_anti").drop("__row")
+    return without(docs, row_key(), keep(occurrences(docs, benchmark, width).select("row").distinct()))

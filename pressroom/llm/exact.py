@@ -13,7 +13,7 @@ Defined results: rows repeated with the same id and text count in ``group_size``
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.llm.rows import BUCKETS, bucket, in_buckets_of, row_key
+from pressroom.llm.rows import bucket, in_buckets_of, row_key, without
 from pressroom.plans.scratch import keep
 from pressroom.plans.skew import spread_join
 
@@ -81,11 +81,7 @@ def exact_groups(docs: DataFrame, prefix: int = 256, digest: bool = False) -> Da
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group, all columns as they were."""
     groups = keep(exact_groups(docs))
-    gone = groups.filter("not kept").select(F.col("row").alias("__row"))
-    left = docs.withColumn("__row", row_key()).join(gone, "__row", "left_anti")
+    left = without(docs, row_key(), keep(groups.filter("not kept").select("row")))
     if not groups.filter("kept").groupBy("row").count().filter("count > 1").isEmpty():
-        left = left.dropDuplicates(["__row"])
-    return left.drop("__row")
-
-
-__all__ = ["BUCKETS", "exact_dedup", "exact_groups", "normalised"]
+        left = left.withColumn("__row", row_key()).dropDuplicates(["__row"]).drop("__row")
+    return left

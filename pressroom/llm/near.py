@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pressroom.llm.bytewords import batches, mix
 from pressroom.llm.components import components
-from pressroom.llm.rows import bucket, in_buckets_of
+from pressroom.llm.rows import bucket, in_buckets_of, without
 from pressroom.plans.scratch import keep, stored_rows
 from pressroom.plans.skew import spread_join
 
@@ -320,5 +320,5 @@ def near_groups(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame
 
 def near_dedup(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """``docs`` with one document of each group of near copies, all columns as they were."""
-    gone = keep(near_groups(docs, percent, width).filter("not kept").select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    gone = near_groups(docs, percent, width).filter("not kept").select("doc_id").distinct()
+    return without(docs, F.col("doc_id"), keep(gone))

@@ -75,15 +75,15 @@ class Votes:
     def __init__(self, counts: np.ndarray, labels: np.ndarray) -> None:
         self.labels = labels.astype(np.float32)
         self.mean = float(labels.mean()) if len(labels) else 0.5
-        self.rarity = np.log((1.0 + len(counts)) / (1.0 + (counts > 0).sum(axis=0))) + 0.25
+        self.rarity = np.log((1.0 + len(counts)) / (1.0 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.25)
         weighted = self._weighted(counts)
         values, vectors = np.linalg.eigh(weighted.T @ weighted)
         self.axes = np.ascontiguousarray(vectors[:, np.argsort(values)[::-1][:RANK]], np.float32)
         self.known = self.vectors(counts)
 
     def _weighted(self, counts: np.ndarray) -> np.ndarray:
-        x = np.sqrt(counts) * self.rarity
-        return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        x = np.sqrt(counts, dtype=np.float32) * self.rarity
+        return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.float32(1e-12)))
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         v = self._weighted(counts) @ self.axes
@@ -106,8 +106,8 @@ class Votes:
 
 def _count_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
-        counts = [term_counts(t).astype(np.int64) for t in part.column("text").to_pylist()]
-        yield pa.record_batch([part.column("doc_id"), pa.array(counts, pa.list_(pa.int64()))], names=["doc_id", "counts"])
+        counts = [term_counts(t).astype(np.int32).tobytes() for t in part.column("text").to_pylist()]
+        yield pa.record_batch([part.column("doc_id"), pa.array(counts, pa.binary())], names=["doc_id", "counts"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000) -> Votes:
@@ -121,9 +121,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000) -> Votes:
         .limit(max_labelled)
     )
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(sample.select("doc_id")), "doc_id")
-    counted = texts.mapInArrow(_count_rows, "doc_id bigint, counts array<bigint>").dropDuplicates(["doc_id"])
+    counted = texts.mapInArrow(_count_rows, "doc_id bigint, counts binary").dropDuplicates(["doc_id"])
     rows = counted.join(F.broadcast(sample), "doc_id").orderBy("doc_id").select("counts", "quality").toArrow()
-    counts = np.array(rows.column("counts").to_pylist(), np.int64).reshape(-1, TERMS)
+    counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.int32).reshape(-1, TERMS)
     return Votes(counts, np.array(rows.column("quality").to_pylist(), float))
 
 

@@ -47,5 +47,18 @@ def in_buckets_of(df: DataFrame, keys: Iterable[Column | str], wanted: DataFrame
     return df.withColumn("_bucket", bucket(*keys)).join(few, "_bucket", "left_semi").drop("_bucket")
 
 
+def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose ``key`` is the only column of some row of ``gone``, a stored table.
+
+    Rows in no bucket of ``gone`` stay where they lie; only the others, with their texts, are shuffled.
+    """
+    name = gone.columns[0]
+    few = F.broadcast(gone.select(bucket(name).alias("__bucket")).distinct())
+    marked = docs.withColumn("__key", key).withColumn("__bucket", bucket("__key"))
+    safe = marked.join(few, "__bucket", "left_anti")
+    open_rows = marked.join(few, "__bucket", "left_semi").join(gone.withColumnRenamed(name, "__key"), "__key", "left_anti")
+    return safe.select(*docs.columns).unionByName(open_rows.select(*docs.columns))
+
+
 def documents(spark, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
