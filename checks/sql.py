@@ -31,10 +31,11 @@ PARTS: dict[str, tuple[list[str], str]] = {
         FROM (SELECT DISTINCT doc_id, pos, line, unnest(regexp_extract_all(lower(line), '\p{L}+')) AS w
               FROM lines) JOIN weights USING (doc_id, w)
         WHERE length(w) >= 3 GROUP BY doc_id, pos, line"""),
-    "summary": (["scored_lines"], """
+    "summary": (["lines", "scored_lines"], """
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS line_no, line
-        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rk
-              FROM scored_lines WHERE n_words >= 5)
+        FROM (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id
+                  ORDER BY CASE WHEN n_words >= 5 THEN score END DESC NULLS LAST, pos) AS rk
+              FROM lines LEFT JOIN scored_lines USING (doc_id, pos, line))
         WHERE rk <= 3"""),
     "reads": ([], """
         SELECT event_id, ts, user_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS doc_id
@@ -127,11 +128,13 @@ PARTS |= {
     "topics": (["in2"], """
         SELECT doc_id, d.lang, coalesce(topic, 0) AS topic FROM documents d LEFT JOIN in2 USING (doc_id)"""),
     "labels": (["topics"], "SELECT doc_id, topics.lang, topic, source FROM topics JOIN documents USING (doc_id)"),
-    "best_views": (["labels", "totals"], """
+    "best_views": (["labels", "totals", "grouped"], """
         SELECT *, row_number() OVER (PARTITION BY lang, topic ORDER BY score DESC, doc_id) AS rk FROM
             (SELECT lang, topic, source, doc_id, score FROM
                 (SELECT *, row_number() OVER (PARTITION BY lang, topic, source ORDER BY score DESC, doc_id) AS o FROM
-                    (SELECT *, coalesce(total, 0) AS score FROM labels LEFT JOIN totals USING (doc_id)))
+                    (SELECT *, coalesce(total, 0) AS score FROM labels
+                     SEMI JOIN (SELECT doc_id FROM grouped WHERE doc_id = group_id) USING (doc_id)
+                     LEFT JOIN totals USING (doc_id) WHERE topic > 0))
              WHERE o = 1)"""),
     "label_words": (["cards", "topics"], """
         SELECT lang, topic, w, iw FROM
@@ -139,7 +142,7 @@ PARTS |= {
                 (SELECT lang, topic, w, sum(pm) AS iw FROM cards JOIN topics USING (doc_id, lang)
                  WHERE topic > 0 GROUP BY ALL))
         WHERE rk <= 5"""),
-    "pool": (["fresh", "labels"], "SELECT user_id, doc_id, score, lang, topic, source FROM fresh JOIN labels USING (doc_id) WHERE rk <= 50"),
+    "pool": (["fresh", "labels"], "SELECT user_id, doc_id, score, lang, topic, source FROM fresh JOIN labels USING (doc_id)"),
     "offers": (["scores", "grouped", "read_pairs", "labels"], """
         SELECT user_id, doc_id, score, lang, topic, source FROM scores
         SEMI JOIN (SELECT doc_id FROM grouped WHERE doc_id = group_id) USING (doc_id)
@@ -181,15 +184,12 @@ RESULTS = {
         f"user_id, {_big('reads', 'articles', 'active_days', 'sessions', 'fav_hour', 'fav_weekday')}",
         "",
     ),
-    "read_together": ("together", _big("i", "j", "c", "jac"), ""),
+    "next_read": ("together", _big("i", "j", "c", "jac"), ""),
     "interest_profile": ("interest", f"user_id, w, {_big('iw', 'rk')}", ""),
     "interest_match": ("matched", f"user_id, doc_id, {_big('score', 'rk')}", ""),
-    "unread": (
-        "matched ANTI JOIN read_pairs USING (user_id, doc_id)", f"user_id, doc_id, {_big('score', 'rk')}", ""
-    ),
+    "unread": ("fresh", f"user_id, doc_id, {_big('score', 'rk')}", "WHERE rk <= 20"),
     "recommend": ("fresh", f"user_id, doc_id, {_big('score', 'rk')}", "WHERE rk <= 10"),
     "shingles": ("grams", "doc_id, g", ""),
-    "near_pairs": ("near", "i, j", ""),
     "duplicate_groups": ("grouped", "doc_id, group_id", ""),
     "remove_duplicates": (
         "documents JOIN (SELECT group_id, count(*) AS group_size FROM grouped GROUP BY group_id)"

@@ -1,44 +1,14 @@
-"""Second choices that fit a model with Spark ML instead of counting."""
+"""A second choice that fits a model with Spark ML instead of counting."""
 
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF
-from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressroom.functions.text import words
-from pressroom.operators.reading import read_counts
-from pressroom.operators.recommend import best_first, matches
 from pressroom.plans.scratch import keep
 
-_LARGEST = 2**31 - 1
-
-
-def als_recommend(
-    interest: DataFrame, keywords: DataFrame, reads: DataFrame, n: int = 10, pool: int = 50, rank: int = 8
-) -> DataFrame:
-    """``user_id, doc_id, score, rk``: unread articles in the order of an ALS model of the reads.
-
-    The model ranks, among the articles anyone has read, the ``pool`` best matches of each user's
-    interests; it is never asked for every user with every article.
-    """
-    counts = keep(read_counts(reads))
-    edge = counts.agg(
-        F.min(F.least("user_id", "doc_id")).alias("low"), F.max(F.greatest("user_id", "doc_id")).alias("high")
-    ).first()
-    if edge["low"] is not None and (edge["low"] < 0 or edge["high"] > _LARGEST):
-        raise ValueError("ALS takes user and article ids from 0 to 2^31 - 1 only")
-    model = ALS(
-        userCol="user_id", itemCol="doc_id", ratingCol="n", implicitPrefs=True, rank=rank, maxIter=5,
-        seed=7, coldStartStrategy="drop",
-    ).fit(counts)
-    known = keywords.join(counts.select("doc_id").distinct(), "doc_id", "left_semi")
-    pairs = matches(interest, known, counts.select("user_id", "doc_id"), [([], pool)])
-    scored = model.transform(pairs.select("user_id", "doc_id")).withColumnRenamed("prediction", "score")
-    return best_first(scored, [([], n)])
-
-
 def kmeans_topics(docs: DataFrame, k: int = 20, seed: int = 7, features: int = 4096) -> DataFrame:
     """``doc_id, topic``: groups of articles by the angle between their weighted word counts."""
     bags = keep(docs.select("doc_id", words(F.lower("text"), 3).alias("ws")))

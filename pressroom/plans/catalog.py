@@ -3,11 +3,11 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pressroom.operators import duplicates, interest, keywords, learned, reading, recommend, summary, topics
 from pressroom.plans import feed
 from pressroom.plans.scratch import keep
-from pressroom.plans.skew import spread_join
 from pressroom.sources import tables
 
 
@@ -30,9 +30,6 @@ class Steps:
     def copies(self) -> DataFrame:
         return keep(duplicates.equal_texts(self.docs))
 
-    def shingle_sets(self) -> DataFrame:
-        return keep(duplicates.shingle_sets(self.docs, self.copies()))
-
     def duplicate_groups(self) -> DataFrame:
         return duplicates.duplicate_groups(self.docs, self.copies())
 
@@ -64,9 +61,9 @@ def _recommend(s: Steps) -> DataFrame:
     return recommend.recommend(s.interest(kw), kw, s.reads)
 
 
-def _als_recommend(s: Steps) -> DataFrame:
+def _unread(s: Steps) -> DataFrame:
     kw = s.keywords()
-    return learned.als_recommend(s.interest(kw), kw, s.reads)
+    return recommend.recommend(s.interest(kw), kw, s.reads, n=20)
 
 
 def _topic_labels(s: Steps) -> DataFrame:
@@ -76,14 +73,21 @@ def _topic_labels(s: Steps) -> DataFrame:
 
 def _perspectives(s: Steps) -> DataFrame:
     found, _, totals = s.topics()
-    return topics.perspectives(s.docs, found, totals)
+    stories = keep(s.duplicate_groups()).filter("doc_id = group_id").select("doc_id")
+    return topics.perspectives(s.docs.join(stories, "doc_id", "left_semi"), found, totals)
 
 
 def _limit_feed(s: Steps) -> DataFrame:
+    """Within the limits, the best of all unread articles of each user."""
     found, kw, _ = s.topics()
-    pool = keep(recommend.recommend(s.interest(kw), kw, s.reads, n=50).drop("rk"))
-    labels = s.docs.select("doc_id", "source").join(found, "doc_id")
-    return feed.limit_feed(spread_join(pool, labels, ["doc_id"], by="user_id"))
+    labels = keep(
+        s.docs.select("doc_id", "source").join(found, "doc_id").withColumn("lang", F.coalesce("lang", F.lit("")))
+    )
+    seen = keep(s.reads.select("user_id", "doc_id").distinct())
+    fed = recommend.matches(s.interest(kw), kw, seen, feed.feed_levels(2, 1, 10), labels)
+    return fed.withColumnRenamed("rk", "rank").select(
+        "user_id", "doc_id", "score", "lang", "topic", "source", "rank"
+    )
 
 
 _QUERIES: dict[str, Callable[[Steps], DataFrame]] = {
@@ -104,11 +108,9 @@ _QUERIES: dict[str, Callable[[Steps], DataFrame]] = {
     "read_sessions": lambda s: reading.read_sessions(s.reads),
     "reading_times": lambda s: reading.reading_times(s.reads),
     "interest_match": _interest_match,
-    "unread": lambda s: recommend.unread(_interest_match(s), reading.read_counts(s.reads)),
-    "read_together": lambda s: reading.read_together(s.reads),
-    "als_recommend": _als_recommend,
+    "unread": _unread,
+    "next_read": lambda s: reading.next_read(s.reads),
     "shingles": lambda s: duplicates.shingle_rows(s.docs),
-    "near_pairs": lambda s: duplicates.near_pairs(s.shingle_sets()),
     "duplicate_groups": lambda s: s.duplicate_groups(),
     "topic_rounds": _topic_rounds,
     "kmeans_topics": lambda s: learned.kmeans_topics(s.docs),

@@ -1,7 +1,9 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from checks import sql
 from checks.compare import differences
+from pressroom.plans import catalog
 from pressroom.operators.reading import read_log
 from pressroom.plans.feed import curated_feed
 from pressroom.plans.scratch import keep
@@ -31,22 +33,16 @@ def test_entry_keeps_its_limits(spark):
 
 
 def test_names_of_queries_and_sql():
-    assert set(queries()) - set(oracle_sql()) == {"als_recommend", "kmeans_topics"}
+    assert set(catalog.queries()) - set(sql.oracle_sql()) == {"kmeans_topics"}
+    assert set(sql.oracle_sql()) <= set(catalog.queries())
     assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(sql.oracle_sql()))
 def test_query_equals_sql(spark, name):
     assert differences(spark, SMALL, name) == ""
 
 
-def test_als_recommends_unread_articles_only(spark):
-    found = queries()["als_recommend"](spark, SMALL).toPandas()
-    assert len(found) and found["rk"].between(1, 10).all()
-    read = read_log(events(spark, SMALL)).toPandas()
-    assert found.merge(read, on=["user_id", "doc_id"]).empty
-
-
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_spread_join_equals_join_with_a_hot_key(spark, rows, how):
     many = keep(spark.range(1000).selectExpr("id", "case when id < 400 then 0 else id % 7 end as k"))
