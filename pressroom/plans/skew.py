@@ -9,6 +9,8 @@ from pressroom.plans.scratch import stored_rows
 # the bound on what is broadcast. Keys of few rows are never worth splitting.
 HOT = 1_000
 HOT_ROWS = 1_000_000
+# How many values a sieve of keys broadcasts at most, whatever the number of keys.
+SIEVE = 1 << 20
 
 
 def key_sizes(many: DataFrame, keys: list[str]) -> DataFrame:
@@ -26,6 +28,17 @@ def hot_keys(sizes: DataFrame, keys: list[str], share: int, rows: int) -> DataFr
     )
 
 
+def only_keys(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be in ``wanted``: all that are, and some others.
+
+    Keys are compared by a hash of ``SIEVE`` values, so no more than these are broadcast. It spares most
+    rows a shuffle in the join that follows.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(SIEVE)).cast("int").alias("_place")
+    few = F.broadcast(wanted.select(place).distinct())
+    return df.select("*", place).join(few, "_place", "left_semi").drop("_place")
+
+
 def spread_join(
     many: DataFrame,
     other: DataFrame,
@@ -37,6 +50,7 @@ def spread_join(
     at_most: int | None = None,
     share: int | None = None,
     rows: int | None = None,
+    other_by: str | None = None,
 ) -> DataFrame:
     """Equi-join in which the rows of a hot key of ``many`` are spread over several tasks.
 
@@ -45,20 +59,34 @@ def spread_join(
     ``many`` is read twice, so it should be a stored or cheap table; ``sizes`` saves one reading
     where the rows per key are known. Where ``many`` has ``at_most`` so few rows that no key can be
     hot, known for a stored table, it is a plain join.
+
+    With ``other_by``, keys may be hot in ``other`` too, a stored table: its rows are dealt out by that
+    column in the same way, and those of ``many`` repeated. Only for inner joins.
     """
     share, rows = share or HOT, rows or HOT_ROWS
     if at_most is None:
         at_most = stored_rows(many)
-    if at_most is not None and at_most <= rows:
-        joined = many.join(other, keys, how)
-        return joined if on is None else joined.filter(on)
-    if sizes is None:
-        sizes = key_sizes(many, keys)
-    hot = F.broadcast(hot_keys(sizes, keys, share, rows))
-    parts = F.coalesce(F.col("parts"), F.lit(1).cast("bigint"))
-    left = many.join(hot, keys, "left").withColumn("part", F.pmod(F.xxhash64(by), parts))
-    right = other.join(hot, keys, "left").withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
-    )
-    joined = left.drop("parts").join(right.drop("parts"), [*keys, "part"], how)
-    return (joined if on is None else joined.filter(on)).drop("part")
+    at_most_other = stored_rows(other) if other_by else 0
+    sides = []
+    if at_most is None or at_most > rows:
+        sides.append((sizes if sizes is not None else key_sizes(many, keys), "_part"))
+    if at_most_other is None or at_most_other > rows:
+        sides.append((key_sizes(other, keys), "_other_part"))
+    for found, part in sides:
+        hot = F.broadcast(hot_keys(found, keys, share, rows))
+        parts = F.coalesce(F.col("parts"), F.lit(1).cast("bigint"))
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
+
+        def dealt(df: DataFrame, column: str) -> DataFrame:
+            return df.join(hot, keys, "left").withColumn(part, F.pmod(F.xxhash64(column), parts)).drop("parts")
+
+        def repeated(df: DataFrame) -> DataFrame:
+            return df.join(hot, keys, "left").withColumn(part, every).drop("parts")
+
+        if part == "_part":
+            many, other = dealt(many, by), repeated(other)
+        else:
+            many, other = repeated(many), dealt(other, other_by)
+    dealt_by = [part for _, part in sides]
+    joined = many.join(other, [*keys, *dealt_by], how)
+    return (joined if on is None else joined.filter(on)).drop(*dealt_by)

@@ -52,3 +52,10 @@ def test_spread_join_equals_join_with_a_hot_key(spark, rows, how):
     assert sorted(text(spread_join(many, other, ["k"], "id", how=how, share=20, rows=30))) == sorted(
         text(many.join(other, ["k"], how))
     )
+
+
+def test_spread_join_with_keys_hot_on_both_sides(spark, rows):
+    many = keep(spark.range(300).selectExpr("id", "case when id < 100 then 0 else id % 7 end as k"))
+    other = keep(spark.range(200).selectExpr("id as v", "case when id < 90 then 0 else id % 9 end as k"))
+    dealt = spread_join(many, other, ["k"], "id", share=20, rows=10, other_by="v")
+    assert rows(dealt, "id", "k", "v") == rows(many.join(other, "k"), "id", "k", "v")
