@@ -6,8 +6,8 @@ from graphlib import TopologicalSorter
 PARTS: dict[str, tuple[list[str], str]] = {
     "tf": ([], r"""
         SELECT doc_id, w, count(*) AS tf
-        FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM documents)
-        WHERE length(w) >= 3 GROUP BY doc_id, w"""),
+        FROM (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM documents)
+        WHERE length(w) >= CASE WHEN lang = 'ko' THEN 2 ELSE 3 END GROUP BY doc_id, w"""),
     "vocab": (["tf"], """
         SELECT w, count(*) AS df, CAST(round(ln(((SELECT count(*) FROM documents) + CAST(1 AS DOUBLE))
             / (count(*) + CAST(1 AS DOUBLE))) * 1000000) AS BIGINT) AS idf
@@ -23,14 +23,14 @@ PARTS: dict[str, tuple[list[str], str]] = {
         WHERE rk <= 20"""),
     "pieces": ([], r"""
         SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, trim(unnest(l)) AS line
-        FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?]?') AS l FROM documents)"""),
+        FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?。！？…\n]+[.!?。！？…]?') AS l FROM documents)"""),
     "sents": (["pieces"], "SELECT doc_id, pos, line FROM pieces WHERE line <> ''"),
     "lines": (["sents"], "SELECT doc_id, min(pos) AS pos, line FROM sents GROUP BY doc_id, line"),
     "scored_lines": (["lines", "weights"], r"""
         SELECT doc_id, pos, line, count(*) AS n_words, CAST(sum(s) // count(*) AS BIGINT) AS score
         FROM (SELECT DISTINCT doc_id, pos, line, unnest(regexp_extract_all(lower(line), '\p{L}+')) AS w
               FROM lines) JOIN weights USING (doc_id, w)
-        WHERE length(w) >= 3 GROUP BY doc_id, pos, line"""),
+        GROUP BY doc_id, pos, line"""),
     "summary": (["lines", "scored_lines"], """
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS line_no, line
         FROM (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id
@@ -39,10 +39,15 @@ PARTS: dict[str, tuple[list[str], str]] = {
         WHERE rk <= 3"""),
     "reads": ([], """
         SELECT event_id, ts, user_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS doc_id
-        FROM events WHERE event_type IN ('view', 'click')
+        FROM events WHERE event_type IN ('view', 'click') AND regexp_matches(json_extract_string(props, '$.k'), '^-?[0-9]+$')
             AND TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL"""),
     "read_pairs": (["reads"], """
         SELECT user_id, doc_id, count(*) AS n FROM reads GROUP BY user_id, doc_id"""),
+    "recent_read_pairs": (["reads"], """
+        SELECT user_id, doc_id, CAST(sum(greatest(1, 8 - (last - day))) AS BIGINT) AS n FROM
+            (SELECT user_id, doc_id, CAST(ts AS DATE) AS day, max(CAST(ts AS DATE)) OVER (PARTITION BY user_id) AS last
+             FROM reads)
+        GROUP BY user_id, doc_id"""),
     "marked": (["reads"], """
         SELECT *, CASE WHEN ts <= lag(ts) OVER u + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts,
             lag(doc_id) OVER u AS before
@@ -67,15 +72,6 @@ PARTS: dict[str, tuple[list[str], str]] = {
              r AS (SELECT doc_id, count(*) AS n FROM read_pairs GROUP BY doc_id)
         SELECT i, j, c, c * 1000000 // (a.n + b.n - c) AS jac
         FROM p JOIN r a ON a.doc_id = i JOIN r b ON b.doc_id = j"""),
-    "interest": (["read_pairs", "kw"], """
-        SELECT * FROM
-            (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY iw DESC, w) AS rk FROM
-                (SELECT user_id, w, CAST(sum(n * pm) AS BIGINT) AS iw
-                 FROM read_pairs JOIN kw USING (doc_id) WHERE pm > 0 GROUP BY user_id, w))
-        WHERE rk <= 50"""),
-    "scores": (["interest", "kw"], """
-        SELECT user_id, doc_id, CAST(sum(iw * pm) AS BIGINT) AS score
-        FROM interest JOIN kw USING (w) WHERE pm > 0 GROUP BY user_id, doc_id"""),
     "matched": (["scores"], """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, doc_id) AS rk
                        FROM scores) WHERE rk <= 20"""),
@@ -112,6 +108,16 @@ PARTS: dict[str, tuple[list[str], str]] = {
              JOIN totals USING (doc_id)) USING (doc_id)
         WHERE topic <= 5"""),
 }
+for _p in ("", "recent_"):  # every read counted once, and those of recent days more often
+    PARTS[f"{_p}interest"] = ([f"{_p}read_pairs", "kw"], f"""
+        SELECT * FROM
+            (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY iw DESC, w) AS rk FROM
+                (SELECT user_id, w, CAST(sum(n * pm) AS BIGINT) AS iw
+                 FROM {_p}read_pairs JOIN kw USING (doc_id) WHERE pm > 0 GROUP BY user_id, w))
+        WHERE rk <= 50""")
+    PARTS[f"{_p}scores"] = ([f"{_p}interest", "kw"], f"""
+        SELECT user_id, doc_id, CAST(sum(iw * pm) AS BIGINT) AS score
+        FROM {_p}interest JOIN kw USING (w) WHERE pm > 0 GROUP BY user_id, doc_id""")
 for _r in range(3):
     PARTS[f"in{_r}"] = (["cards", f"cw{_r}"], f"""
         SELECT doc_id, lang, topic FROM
@@ -143,8 +149,8 @@ PARTS |= {
                  WHERE topic > 0 GROUP BY ALL))
         WHERE rk <= 5"""),
     "pool": (["fresh", "labels"], "SELECT user_id, doc_id, score, lang, topic, source FROM fresh JOIN labels USING (doc_id)"),
-    "offers": (["scores", "grouped", "read_pairs", "labels"], """
-        SELECT user_id, doc_id, score, lang, topic, source FROM scores
+    "offers": (["recent_scores", "grouped", "read_pairs", "labels"], """
+        SELECT user_id, doc_id, score, lang, topic, source FROM recent_scores
         SEMI JOIN (SELECT doc_id FROM grouped WHERE doc_id = group_id) USING (doc_id)
         ANTI JOIN (SELECT user_id, group_id AS doc_id FROM read_pairs JOIN grouped USING (doc_id)) USING (user_id, doc_id)
         JOIN labels USING (doc_id)"""),

@@ -7,13 +7,22 @@ from pressroom.functions.arrays import let
 
 # What counts as a word and as a sentence.
 WORD = r"\p{L}+"
-SENTENCE = r"[^.!?\n]+[.!?]?"
+SENTENCE = r"[^.!?。！？…\n]+[.!?。！？…]?"
+# The length from which a word counts, where a language differs from the others.
+LEAST_LENGTH = 3
+LEAST_LENGTHS = {"ko": 2}
 
 
-def words(lowered: Column, min_len: int = 1) -> Column:
+def least_length(lang: Column, lengths: dict[str, int] | None = None) -> Column:
+    """The length from which a word counts in each article, by its language."""
+    per_lang = [F.when(lang == name, F.lit(n)) for name, n in (LEAST_LENGTHS if lengths is None else lengths).items()]
+    return F.coalesce(*per_lang, F.lit(LEAST_LENGTH))
+
+
+def words(lowered: Column, min_len: int | Column = 1) -> Column:
     """All runs of letters in a lower-cased text, in order."""
     found = F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
-    return found if min_len <= 1 else F.filter(found, lambda w: F.length(w) >= min_len)
+    return found if isinstance(min_len, int) and min_len <= 1 else F.filter(found, lambda w: F.length(w) >= min_len)
 
 
 def raw_sentences(text: Column) -> Column:

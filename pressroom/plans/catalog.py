@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pressroom.functions.text import least_length
 from pressroom.operators import duplicates, interest, keywords, learned, reading, recommend, summary, topics
 from pressroom.plans import feed
 from pressroom.plans.scratch import keep
@@ -16,13 +17,14 @@ class Steps:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.docs = tables.articles(spark, folder)
+        self.min_len = least_length(F.col("lang"))
         self.reads = reading.read_log(tables.events(spark, folder))
 
     def weights(self) -> DataFrame:
-        return keywords.weigh(self.docs, keywords.word_counts(self.docs))
+        return keywords.weigh(self.docs, keywords.word_counts(self.docs, self.min_len))
 
     def weighted_terms(self) -> DataFrame:
-        return keywords.weigh(self.docs, keywords.article_terms(self.docs))
+        return keywords.weigh(self.docs, keywords.article_terms(self.docs, self.min_len))
 
     def keywords(self) -> DataFrame:
         return keep(keywords.keyword_extract(self.weights(), k=20))
@@ -100,7 +102,7 @@ _QUERIES: dict[str, Callable[[Steps], DataFrame]] = {
     "topic_group": lambda s: s.topics()[0],
     "remove_duplicates": lambda s: duplicates.remove_duplicates(s.docs, keep(s.duplicate_groups())),
     "perspectives": _perspectives,
-    "word_counts": lambda s: keywords.word_counts(s.docs),
+    "word_counts": lambda s: keywords.word_counts(s.docs, s.min_len),
     "sentences": lambda s: summary.sentences(s.docs),
     "word_weights": lambda s: s.weights(),
     "sentence_scores": lambda s: summary.sentence_scores(s.docs, s.weighted_terms()),

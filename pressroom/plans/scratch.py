@@ -9,12 +9,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _rows: "WeakKeyDictionary[DataFrame, int]" = WeakKeyDictionary()
+_paths: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,12 +38,37 @@ def keep(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pressroom-{uuid.uuid4().hex}"
     counted = Observation()
+    _paths.append(path)
     df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
-    _rows[stored] = counted.get["rows"]
+    rows = counted.get["rows"]
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        check_rows(stored, rows, path)
+    _rows[stored] = rows
     return stored
 
 
+def check_rows(stored: DataFrame, rows: int, path: str) -> None:
+    """Fail if a table read back lacks rows: then the executors do not share the folder it lies in."""
+    found = stored.count()
+    if found < rows:
+        raise RuntimeError(f"{rows} rows were written to {path}, {found} are there: is the folder shared?")
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables stored within this block when it ends; write what is to last before that."""
+    before = len(_paths)
+    try:
+        yield
+    finally:
+        files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in _paths[before:]:
+            place = files(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        del _paths[before:]
+
+
 def stored_rows(df: DataFrame) -> int | None:
     """How many rows a table from ``keep`` has; None for any other."""
     return _rows.get(df)
