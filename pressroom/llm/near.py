@@ -146,9 +146,15 @@ class NearGroups:
         )
         self.cells = self._cells(named)
         ids = keep(self.cells.select(F.col("rep").alias("doc_id")).distinct())
-        close = in_buckets_of(self.docs, ["doc_id"], ids.select(bucket("doc_id").alias("bucket")))
+        buckets, repeats = ids.select(bucket("doc_id").alias("bucket")), self._repeats(named)
+        # signatures and sets only of classes that share a band: no other is ever compared
+        owners = self.classes.select(F.col("rep").alias("doc_id"), "k1", "k2").join(ids, "doc_id", "left_semi")
+        close = in_buckets_of(named.select("doc_id", "k1", "k2", "sig"), ["doc_id"], buckets)
+        sigs = close.join(owners, ["doc_id", "k1", "k2"], "left_semi").select(F.col("doc_id").alias("rep"), "sig")
+        self.sigs = keep(sigs.dropDuplicates(["rep"]) if repeats else sigs)
+        close = in_buckets_of(self.docs, ["doc_id"], buckets)
         sets = close.mapInArrow(*_full_sets(width)).join(ids, "doc_id", "left_semi")
-        self.sets = keep(sets.dropDuplicates(["doc_id"]) if self._repeats(named) else sets)
+        self.sets = keep(sets.dropDuplicates(["doc_id"]) if repeats else sets)
         self.edges: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.linked: DataFrame | None = None
@@ -164,7 +170,6 @@ class NearGroups:
         )
         cells = keep(reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("rep"), "n", "copies").distinct())
         sizes = keep(cells.groupBy("band").agg(F.count("*").alias("rows")).filter("rows > 1"))
-        self.sigs = keep(reps.select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep"]))
         return keep(
             spread_join(cells, sizes, ["band"], by="rep", sizes=sizes).withColumnRenamed("rows", "size")
         )
