@@ -8,16 +8,23 @@ branch of the site's tree. Two kinds of evidence say how important a branch is:
 - content: one less the mean entropy of its texts over the pages. A text on one page only has entropy 0,
   one on every page has entropy 1.
 
-The more children a branch has, the more presentation counts (``GAMMA``). A host of few pages shows
-little, so importance is mixed with what tags, classes and roles say (``PRIOR``): known kinds of
-noise, main content, or neither. Branches of importance up to ``LEVEL`` are cut from each page.
+The more children a branch has, the more presentation counts (``GAMMA``). Importance is mixed with what
+tags, classes and roles say (``PRIOR``): main content, or nothing; beside main content that the page
+names, that it is none (``BESIDE``). On a host of few pages, which show little, this counts more; from some six
+pages on entropy can overrule it both ways. Branches of importance up to ``LEVEL`` are cut from each page.
+
+Branches labelled as noise are cut, as advertisements and comments differ from page to page as much as
+main content does. But the label is a wrapper's and does not count where it holds more than ``WHOLE`` of
+the text that entropy does not call noise, if the page names no main content outside it. Within main content this
+goes for all labels but those of comments and links (``VARIED``).
 
 Text in what is left: character references decoded, white space inside a block turned into one
 space, blocks in page order joined by a line feed. Inline elements and line breaks do not end a block.
 
 Defined results: null html is an empty page with empty text; broken markup (open or stray tags,
 comments without end) is read as browsers do, as far as blocks go; a page whose whole content would be
-cut keeps what no label calls noise; pages of a null ``url`` form one site. Repeated rows have a result
+cut keeps what entropy does not call noise, without labelled noise if that leaves anything, and if there is
+nothing of it, what no label calls noise; pages of a null ``url`` form one site. Repeated rows have a result
 each. An empty table gives an empty result. Only ``page_id``, ``url`` and ``html`` are looked at.
 """
 
@@ -34,7 +41,7 @@ from pyspark.sql import functions as F
 from pressroom.plans.scratch import keep, stored_rows
 from pressroom.plans.skew import spread_join
 
-GAMMA, PRIOR, LEVEL = 0.9, 0.6, 0.5
+GAMMA, PRIOR, LEVEL, BESIDE, WHOLE = 0.9, 0.4, 0.5, 0.25, 0.5
 # A branch on fewer than one in so many pages of a host counts as one of a kind. A page has a number of
 # branches of its own, so a host has at most RARE times that many others.
 RARE = 1_000
@@ -63,6 +70,10 @@ NOISE_WORDS = {
     "promotion", "reader", "readers", "related", "replies", "reply", "respond", "responses", "share", "sharing", "sidebar", "signup", "social",
     "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets",
 }
+VARIED = {
+    "comment", "comments", "commentlist", "discussion", "disqus", "reader", "readers", "related", "replies", "reply",
+    "respond", "responses",
+}
 MAIN_TAGS = {"article", "main"}
 MAIN_WORDS = {"articlebody", "entry-content", "article-body", "article-content", "post-content", "post-body", "story-body", "main-content"}
 
@@ -81,17 +92,17 @@ WORD = re.compile(r"[a-z]+")
 class Branch:
     """An element of a page: its path hash, what its label says, and its children."""
 
-    __slots__ = ("tag", "path", "label", "inside", "children", "up")
+    __slots__ = ("tag", "path", "label", "varied", "inside", "children", "up")
 
-    def __init__(self, tag: str, path: int, label: int, up: "Branch | None") -> None:
-        self.tag, self.path, self.label, self.up = tag, path, label, up
+    def __init__(self, tag: str, path: int, label: int, up: "Branch | None", varied: bool = False) -> None:
+        self.tag, self.path, self.label, self.up, self.varied = tag, path, label, up, varied
         self.children: list[str] = []
         self.inside = label == 1 or (up is not None and up.inside)
 
 
 @lru_cache(10_000)
-def label_of(tag: str, attributes: str, inside: bool) -> tuple[str, int]:
-    """The branch name and -1 for noise, 1 for main content, 0 for neither."""
+def label_of(tag: str, attributes: str, inside: bool) -> tuple[str, int, bool]:
+    """The branch name, -1 for noise, 1 for main content, 0 for neither, and whether it is noise that varies."""
     names, role, label = "", "", 0
     if attributes:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
@@ -113,7 +124,7 @@ def label_of(tag: str, attributes: str, inside: bool) -> tuple[str, int]:
         label = -1
     elif label == 0 and (tag in MAIN_TAGS or role in ("main", "article") or words & MAIN_WORDS):
         label = 1
-    return tag + (" " + " ".join(sorted(w for w in words if not w.startswith("#"))) if words else ""), label
+    return tag + (" " + " ".join(sorted(w for w in words if not w.startswith("#"))) if words else ""), label, label < 0 and bool(parts & VARIED)
 
 
 def parse(page: str | None) -> tuple[list[tuple[Branch, str]], list[Branch]]:
@@ -176,7 +187,7 @@ def parse(page: str | None) -> tuple[list[tuple[Branch, str]], list[Branch]]:
             if tag in CLOSED_BY_SELF:
                 leave(CLOSED_BY_SELF[tag])
         up = stack[-1]
-        name, label = label_of(tag, attributes if telling else "", up.inside)
+        name, label, varied = label_of(tag, attributes if telling else "", up.inside)
         if not block:
             if not label or tag in VOID:
                 parts.append(" " if tag in VOID else "")
@@ -184,7 +195,7 @@ def parse(page: str | None) -> tuple[list[tuple[Branch, str]], list[Branch]]:
             flush()
             labelled.add(tag)
         up.children.append(name)
-        branch = Branch(tag, zlib.crc32(name.encode(), up.path) | (len(name) << 32), label, up)
+        branch = Branch(tag, zlib.crc32(name.encode(), up.path) | (len(name) << 32), label, up, varied)
         branches.append(branch)
         stack.append(branch)
     flush()
@@ -243,7 +254,7 @@ def _with_host(pages: DataFrame) -> DataFrame:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """``host, path, importance``: by entropy alone, of every branch that has evidence."""
+    """``host, path, importance, looks``: by entropy alone, of every branch that has evidence."""
     seen = _with_host(pages).mapInArrow(observe, "host string, path bigint, kind int, h bigint, size bigint")
     counts = seen.groupBy("host", "path", "kind", "h").agg(F.count("*").alias("c"), F.max("size").alias("size"))
     c, look, text = F.col("c").cast("double"), F.col("kind") == 0, F.col("kind") == 1
@@ -262,14 +273,32 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return (
         branches.join(hosts, "host")
         .filter(F.col("looks") * RARE >= F.col("pages"))
-        .select("host", "path", F.least(F.greatest((1 - weight) * look_importance + weight * text_importance, F.lit(0.0)), F.lit(1.0)).alias("importance"))
+        .select("host", "path", F.least(F.greatest((1 - weight) * look_importance + weight * text_importance, F.lit(0.0)), F.lit(1.0)).alias("importance"), "looks")
     )
 
 
-def main_blocks(page: str | None, importance: dict[int, float]) -> list[str]:
-    """The blocks of a page that stay."""
+def main_blocks(page: str | None, evidence: dict[int, tuple[float, float]]) -> list[str]:
+    """The blocks of a page that stay, by the importance and the number of looks of each path."""
     blocks, branches = parse(page)
     has_main = any(owner.inside and all(b.label >= 0 for b in _chain(owner)) for owner, _ in blocks)
+    # what holds main content is not cut as a whole
+    holds: dict[int, bool] = {}
+    for b in branches:
+        if b.inside:
+            up = b.up
+            while up is not None and id(up) not in holds:
+                holds[id(up)] = True
+                up = up.up
+    high = [all(evidence.get(b.path, (1.0, 1.0))[0] > LEVEL for b in _chain(owner)) for owner, _ in blocks]
+    shares: dict[int, int] = {}
+    for (owner, text), content in zip(blocks, high, strict=True):
+        for b in _chain(owner) if content else ():
+            shares[id(b)] = shares.get(id(b), 0) + len(text)
+    whole = WHOLE * sum(len(text) for (_, text), content in zip(blocks, high, strict=True) if content)
+    for b in branches:
+        if b.label < 0 and shares.get(id(b), 0) > whole and (not has_main or (b.inside and not b.varied)):
+            b.label = 0
+    has_main = any(owner.inside and all(b.label >= 0 for b in _chain(owner)) for owner, _ in blocks)
     cut: dict[int, bool] = {}
 
     def gone(branch: Branch) -> bool:
@@ -280,30 +309,22 @@ def main_blocks(page: str | None, importance: dict[int, float]) -> list[str]:
             if gone(branch.up):
                 cut[key] = True
             else:
-                if branch.label < 0:
-                    prior = 0.0
-                elif branch.inside or any_inside.get(key):
+                if branch.inside or key in holds:
                     prior = 1.0
                 else:
-                    prior = 0.5
-                cut[key] = PRIOR * prior + (1 - PRIOR) * importance.get(branch.path, 1.0) <= LEVEL
+                    prior = BESIDE if has_main else 0.5
+                importance, looks = evidence.get(branch.path, (0.0, 1.0))
+                said = (1 - PRIOR) * (1 - 1 / looks)
+                mixed = (1 - said) * prior + said * importance
+                cut[key] = branch.label < 0 or (mixed <= LEVEL if said else prior < LEVEL)
         return cut[key]
 
-    # what holds main content is not cut as a whole
-    any_inside: dict[int, bool] = {}
-    for b in branches:
-        if b.inside:
-            up = b.up
-            while up is not None and id(up) not in any_inside:
-                any_inside[id(up)] = True
-                up = up.up
-    kept = []
-    for owner, text in blocks:
-        if has_main and not owner.inside:  # beside the content that the page itself names
-            continue
-        if not gone(owner):
-            kept.append(text)
-    return kept or [text for owner, text in blocks if all(b.label >= 0 for b in _chain(owner))]
+    kept = [text for owner, text in blocks if not gone(owner)]
+    if kept or not blocks:
+        return kept
+    plain = {k for k, (owner, _) in enumerate(blocks) if all(b.label >= 0 for b in _chain(owner))}
+    content = {k for k, c in enumerate(high) if c}
+    return [blocks[k][1] for k in sorted(plain & content or content or plain)]
 
 
 def _extract(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +336,7 @@ def _extract(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if mark.is_valid:
                 if part.column("host")[k].as_py() != last:
                     last = part.column("host")[k].as_py()
-                    known = {x["path"]: x["importance"] for x in mark.as_py()}
+                    known = {x["path"]: (x["importance"], x["looks"]) for x in mark.as_py()}
             else:
                 last, known = None, {}
             texts.append("\n".join(main_blocks(page, known)))
@@ -325,7 +346,7 @@ def _extract(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_main(pages: DataFrame, broadcast_branches: int = BROADCAST_BRANCHES) -> DataFrame:
     """``page_id, url, text`` for every page."""
     tree = keep(style_tree(pages))
-    marks = keep(tree.groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("marks")))
+    marks = keep(tree.groupBy("host").agg(F.collect_list(F.struct("path", "importance", "looks")).alias("marks")))
     here = _with_host(pages)
     if stored_rows(tree) <= broadcast_branches:
         marked = here.join(F.broadcast(marks), "host", "left")

@@ -212,3 +212,31 @@ def test_licences(spark):
     span = found[3]["matches"][0]
     assert texts[3][span["start"] : span["stop"]] == "Licensed under CC BY-NC 4.0"
     assert licenses.license_scan(df.limit(0)).count() == 0
+
+
+def test_entropy_overrules_labels_of_main_text(spark):
+    def same(k):
+        return f"<div class=x1>Story {k} has {k * 7} words</div>"
+
+    box = "<article><h1>Head {0}</h1><p>Story {0} has {1} words</p><div class=x3>Read our terms</div></article>"
+    bodies = {
+        "sidebar": lambda k: f"<div class='page has-sidebar'>{same(k)}<div class=sidebar>Links {k}</div></div><footer>End</footer>",
+        "article": lambda k: f"<div class='page has-sidebar'><article>{same(k)}</article></div><div class=ad>Buy {k}</div>",
+        "form": lambda k: f"<form><nav>Menu</nav>{same(k)}</form>",
+        "box": lambda k: box.format(k, k * 7),
+        "beside": lambda k: f"<article><p>Story {k}</p></article><div class=x4>has {k * 7} words</div><div class=x5>Terms</div><div class=ad>Buy {k}</div>",
+    }
+    rows = [(k, f"http://{name}.example", page(body(k))) for name, body in bodies.items() for k in range(30)]
+    rows += [(99, f"http://one-{name}.example", page(body(99))) for name, body in bodies.items() if name != "beside"]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {(r["url"].split("/")[2].split(".")[0], r["page_id"]): r["text"] for r in html_main.extract_main(pages).collect()}
+    story = "Story {0} has {1} words"
+    for k in range(30):
+        for name in ("sidebar", "article", "form"):
+            assert found[name, k] == story.format(k, k * 7)
+        assert found["box", k] == f"Head {k}\n" + story.format(k, k * 7)
+        assert found["beside", k] == f"Story {k}\nhas {k * 7} words"
+    for name in ("sidebar", "article", "form"):
+        assert found["one-" + name, 99] == story.format(99, 693)
+    assert found["one-box", 99].startswith("Head 99\nStory 99")
+    assert html_main.main_blocks(page("<div class=promo>Only this</div>"), {}) == ["Only this"]
