@@ -38,14 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressroom.llm.rows import row_key
 from pressroom.plans.scratch import keep, stored_rows
 from pressroom.plans.skew import spread_join
 
 GAMMA, PRIOR, LEVEL, BESIDE, WHOLE = 0.9, 0.4, 0.5, 0.25, 0.5
-# A branch on fewer than one in so many pages of a host counts as one of a kind. A page has a number of
-# branches of its own, so a host has at most RARE times that many others.
-RARE = 1_000
-# So many branches of all hosts are broadcast at most; beyond that, pages are joined by host.
+# So many branches of all hosts are broadcast at most; beyond that, each page is joined with its own.
 BROADCAST_BRANCHES = 200_000
 
 # How HTML names its elements.
@@ -269,12 +267,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
     look_importance = (F.log(m) - F.col("look_sum") / m) / F.log(m)
     text_importance = F.when(F.col("texts") > 0, 1 - F.col("text_sum") / F.col("texts") / F.log(m)).otherwise(0.0)
     weight = F.pow(F.lit(GAMMA), F.col("children") / m)
-    hosts = _with_host(pages).groupBy("host").agg(F.count("*").alias("pages"))
-    return (
-        branches.join(hosts, "host")
-        .filter(F.col("looks") * RARE >= F.col("pages"))
-        .select("host", "path", F.least(F.greatest((1 - weight) * look_importance + weight * text_importance, F.lit(0.0)), F.lit(1.0)).alias("importance"), "looks")
-    )
+    importance = F.least(F.greatest((1 - weight) * look_importance + weight * text_importance, F.lit(0.0)), F.lit(1.0))
+    return branches.select("host", "path", importance.alias("importance"), "looks")
 
 
 def main_blocks(page: str | None, evidence: dict[int, tuple[float, float]]) -> list[str]:
@@ -327,15 +321,30 @@ def main_blocks(page: str | None, evidence: dict[int, tuple[float, float]]) -> l
     return [blocks[k][1] for k in sorted(plain & content or content or plain)]
 
 
+def _paths(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``host, row, path``: the different branches of each page."""
+    for part in parts:
+        hosts, rows, paths = [], [], []
+        for host, row, page in zip(*(part.column(c).to_pylist() for c in ("host", "row", "html")), strict=True):
+            own = {b.path for b in parse(page)[1]}
+            hosts += [host] * len(own)
+            rows += [row] * len(own)
+            paths += own
+            if len(paths) > 50_000:
+                yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(rows, pa.string()), pa.array(paths, pa.int64())], names=["host", "row", "path"])
+                hosts, rows, paths = [], [], []
+        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(rows, pa.string()), pa.array(paths, pa.int64())], names=["host", "row", "path"])
+
+
 def _extract(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
-        pages, marks = part.column("html").to_pylist(), part.column("marks")
+        pages, owners, marks = part.column("html").to_pylist(), part.column("owner").to_pylist(), part.column("marks")
         texts, known, last = [], {}, None
         for k, page in enumerate(pages):
             mark = marks[k]
             if mark.is_valid:
-                if part.column("host")[k].as_py() != last:
-                    last = part.column("host")[k].as_py()
+                if owners[k] != last:
+                    last = owners[k]
                     known = {x["path"]: (x["importance"], x["looks"]) for x in mark.as_py()}
             else:
                 last, known = None, {}
@@ -346,12 +355,19 @@ def _extract(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_main(pages: DataFrame, broadcast_branches: int = BROADCAST_BRANCHES) -> DataFrame:
     """``page_id, url, text`` for every page."""
     tree = keep(style_tree(pages))
-    marks = keep(tree.groupBy("host").agg(F.collect_list(F.struct("path", "importance", "looks")).alias("marks")))
     here = _with_host(pages)
+    mark = F.struct("path", "importance", "looks")
     if stored_rows(tree) <= broadcast_branches:
-        marked = here.join(F.broadcast(marks), "host", "left")
+        marks = keep(tree.groupBy("host").agg(F.collect_list(mark).alias("marks")))
+        marked = here.join(F.broadcast(marks), "host", "left").withColumn("owner", F.col("host"))
     else:
-        marked = spread_join(here, marks, ["host"], by="page_id", how="left")
+        here = here.withColumn("row", row_key("page_id", "html"))
+        paths = here.select("host", "row", "html").mapInArrow(_paths, "host string, row string, path bigint")
+        sizes = tree.select("host", "path", F.col("looks").cast("bigint").alias("rows"))
+        found = spread_join(paths, tree, ["host", "path"], by="row", sizes=sizes)
+        # repeated pages have one key, so a set holds no more than the branches of one page
+        marks = keep(found.groupBy("host", "row").agg(F.collect_set(mark).alias("marks")))
+        marked = here.join(marks, ["host", "row"], "left").withColumn("owner", F.concat("host", F.lit("/"), "row"))
     kinds = dict(pages.dtypes)
     schema = f"page_id {kinds['page_id']}, url string, text string"
-    return marked.select("page_id", "url", "html", "host", "marks").mapInArrow(_extract, schema)
+    return marked.select("page_id", "url", "html", "owner", "marks").mapInArrow(_extract, schema)

@@ -240,3 +240,13 @@ def test_entropy_overrules_labels_of_main_text(spark):
         assert found["one-" + name, 99] == story.format(99, 693)
     assert found["one-box", 99].startswith("Head 99\nStory 99")
     assert html_main.main_blocks(page("<div class=promo>Only this</div>"), {}) == ["Only this"]
+
+
+def test_rare_branches_of_a_large_host_are_cut(spark):
+    plain = "<div class=x2><p>Text {0} of its own</p></div>"
+    promo = "<div class=x1>Same on three pages</div>"
+    rows = [(k, "http://a.example/x", (promo if k < 3 else "") + plain.format(k)) for k in range(4000)]
+    pages = spark.createDataFrame(rows + rows[:1], "page_id bigint, url string, html string").repartition(4)
+    for most in (html_main.BROADCAST_BRANCHES, 0):
+        found = html_main.extract_main(pages, broadcast_branches=most).collect()
+        assert len(found) == 4001 and all(r["text"] == f"Text {r['page_id']} of its own" for r in found)
