@@ -9,8 +9,10 @@ that shape, so the counts that the model needs grow with the corpus and every te
 likelihood. The state of a gated recurrent unit is carried through the whole document, window by
 window; nothing is cut off.
 
-The unit and its softmax are trained by truncated backpropagation in numpy, on windows drawn from
-at most ``max_documents`` training documents, those with the smallest hash of their id.
+The unit and its softmax are trained by truncated backpropagation in numpy. They begin with windows drawn
+from at most ``max_documents`` training documents, those with the smallest hash of their id. Then they learn from
+every token of all training documents: the documents are dealt into ``ROUNDS`` rounds, in each of which
+every partition goes on from the same weights, and these are averaged by the tokens learned.
 
 Words are 64-bit hashes (61 bits and a shape): among ten million different words two share one with a
 probability of 1 in 40,000. Words with more than 1 in ``SHARE`` of all tokens, fewer than ``SHARE`` of
@@ -39,7 +41,8 @@ LEARNED = CLASSES * CLASS_SIZE
 HIDDEN = 16
 SHARE = 500_000
 END = np.uint64(0xE0D)  # no word: a hash of 61 bits this small is as good as never met
-WINDOW, STREAMS = 32, 64
+WINDOW, STREAMS, WIDE = 32, 64, 512
+ROUNDS, ROUND_RATE = 3, 0.004
 TOKENS_AT_ONCE = 2_000_000
 COUNTED_AT_ONCE = 1_000_000
 
@@ -142,17 +145,21 @@ class Gru:
                 dh_out[rows] += d @ p["w"][k].T
         dh_out = dh_out.reshape(steps, streams, n)
         dh = np.zeros_like(h)
+        das, dgs = [None] * steps, [None] * steps
         for t in range(steps - 1, -1, -1):
             z, r, c, gc = kept[t]
             dc = dh * (1 - z) * (1 - c * c)
             dz = dh * (before[t] - c) * z * (1 - z)
             dr = dc * gc * r * (1 - r)
-            da = np.concatenate([dz, dr, dc], axis=1)
-            dg = np.concatenate([dz, dr, dc * r], axis=1)
-            np.add.at(g["x"], x[t], da)
-            g["b"] += da.sum(axis=0)
-            g["u"] += before[t].T @ dg
+            das[t] = np.concatenate([dz, dr, dc], axis=1)
+            dgs[t] = dg = np.concatenate([dz, dr, dc * r], axis=1)
             dh = (dh * z + dg @ p["u"].T + dh_out[t]) * ~fresh[t][:, None]
+        da = np.concatenate(das)
+        order = np.argsort(token, kind="stable")
+        ids, first = np.unique(token[order], return_index=True)
+        g["x"][ids] = np.add.reduceat(da[order], first, axis=0)
+        g["b"] = da.sum(axis=0)
+        g["u"] = flat.T @ np.concatenate(dgs)
         return g, h
 
     def train(self, docs: list[np.ndarray], epochs: int = 3, rate: float = 0.01) -> "Gru":
@@ -183,6 +190,41 @@ class Gru:
                     self.p[k] -= now * (m[k] / (1 - 0.9**turn)) / (np.sqrt(s[k] / (1 - 0.99**turn)) + 1e-6)
         return self
 
+    def learn(self, docs: list[np.ndarray], rate: float, state: dict) -> "Gru":
+        """One pass over every token of the documents; ``state`` carries the moments from call to call."""
+        flat = np.concatenate(docs)
+        fresh = np.zeros(len(flat), bool)
+        fresh[np.cumsum([0] + [len(d) for d in docs[:-1]])] = True
+        streams = int(min(WIDE, max(1, len(flat) // (16 * WINDOW))))
+        steps = -(-len(flat) // streams)
+        # filled up with the first tokens once more, so that none is left out
+        x = np.resize(flat, steps * streams).reshape(streams, steps).T
+        fresh = np.resize(fresh, steps * streams).reshape(streams, steps).T.copy()
+        fresh[0] = True
+        m = state.setdefault("m", {k: np.zeros_like(v) for k, v in self.p.items()})
+        s = state.setdefault("s", {k: np.zeros_like(v) for k, v in self.p.items()})
+        h = np.zeros((streams, HIDDEN), np.float32)
+        for lo in range(0, steps, WINDOW):
+            state["turn"] = turn = state.get("turn", 0) + 1
+            g, h = self._window(h, fresh[lo : lo + WINDOW], x[lo : lo + WINDOW])
+            size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+            now = np.float32(rate * min(1.0, 1.0 / max(size, 1e-9)))
+            for k, v in g.items():
+                m[k] = np.float32(0.9) * m[k] + np.float32(0.1) * v
+                s[k] = np.float32(0.99) * s[k] + np.float32(0.01) * v * v
+                self.p[k] -= now * (m[k] / np.float32(1 - 0.9**turn)) / (np.sqrt(s[k] / np.float32(1 - 0.99**turn)) + np.float32(1e-6))
+        return self
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
+
+    def unflat(self, values: np.ndarray) -> "Gru":
+        at = 0
+        for k in sorted(self.p):
+            self.p[k] = values[at : at + self.p[k].size].reshape(self.p[k].shape).astype(np.float32)
+            at += self.p[k].size
+        return self
+
     def documents(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log-likelihood of each whole document; the state runs through all its windows."""
         lengths = np.array([len(d) for d in docs])
@@ -222,6 +264,7 @@ class Model:
     total: int
     words: int
     shape_base: np.ndarray  # N + V + 1 of each shape
+    trained: int = 0  # tokens the unit has learned from
 
     def prepare(self) -> "Model":
         self.by_hash = np.argsort(self.learned)
@@ -308,6 +351,45 @@ def fit(training: DataFrame, counts: DataFrame, max_documents: int = 1500, token
     known[LEARNED:] = base[:SHAPES] - 1
     model.gru.start(known)
     model.gru.train([model.ids(np.array(x, np.int64).view(np.uint64)) for x in some])
+    return learn_all(training, model)
+
+
+def _learned(shared, rate: float):
+    """``n, w``: how many tokens a partition has, and the weights after learning from all of them."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, state, waiting, size, total = shared.value.prepare(), {}, [], 0, 0
+        gru = Gru().unflat(model.gru.flat())
+        for part in parts:
+            for _, words in batches(part.column("text").to_pylist(), shaped_words):
+                for h in words:
+                    waiting.append(model.ids(np.append(h, END)))
+                    size += len(waiting[-1])
+                if size >= TOKENS_AT_ONCE:
+                    gru.learn(waiting, rate, state)
+                    waiting, size, total = [], 0, total + size
+        if waiting:
+            gru.learn(waiting, rate, state)
+        if total + size:
+            weights = pa.array([gru.flat().astype(np.float64)], pa.list_(pa.float64()))
+            yield pa.record_batch([pa.array([total + size], pa.int64()), weights], names=["n", "w"])
+
+    return run, "n bigint, w array<double>"
+
+
+def learn_all(training: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
+    """``model`` after one pass over all tokens of ``training``."""
+    dealt = training.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)).alias("round"))
+    context = training.sparkSession.sparkContext
+    for number in range(rounds):
+        shared = context.broadcast(model)
+        here = dealt.filter(F.col("round") == number).select("text").mapInArrow(*_learned(shared, ROUND_RATE * (1 - number / rounds)))
+        terms = here.select("n", F.posexplode("w").alias("k", "w"))
+        means = terms.groupBy("k").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"), F.sum("n").alias("n")).toArrow()
+        if len(means):
+            order = np.argsort(means.column("k").to_numpy())
+            model.gru.unflat(means.column("w").to_numpy()[order])
+            model.trained += int(means.column("n")[0].as_py())
     return model
 
 

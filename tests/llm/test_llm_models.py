@@ -250,3 +250,13 @@ def test_rare_branches_of_a_large_host_are_cut(spark):
     for most in (html_main.BROADCAST_BRANCHES, 0):
         found = html_main.extract_main(pages, broadcast_branches=most).collect()
         assert len(found) == 4001 and all(r["text"] == f"Text {r['page_id']} of its own" for r in found)
+
+
+def test_language_model_learns_from_every_document(spark):
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(words[(start * 7 + k) % 40] for k in range(600)) for start in range(300)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, texts[0]), (5, None)], "doc_id bigint, text string")
+    counts = lm.keep(lm.token_counts(docs))
+    assert lm.fit(docs, counts, max_documents=10).trained == counts.agg({"c": "sum"}).first()[0]
+    rows = lm.likelihoods(docs, docs, max_documents=0).collect()  # nothing but what all documents teach
+    assert sum(r["score"] - r["base_score"] for r in rows) / sum(r["n_tokens"] for r in rows) > 0.2
