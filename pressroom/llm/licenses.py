@@ -7,7 +7,8 @@ between two of them. Of rules that match at the same place the one with most sen
 
 A sentence ends at a full stop, question or exclamation mark, colon or semicolon before white space, and at
 a blank line. As licence lines also stand between other lines without a stop, every line is tried as
-a sentence too.
+a sentence too. A known sentence with a stop inside is known by its parts, which must follow each other
+with nothing between them; together they count as one sentence.
 
 Defined results: null and empty texts have no sentence and no licence. Sentences of any length are
 read; a licence stated twice has two matches. Repeated rows have a result each. Only ``doc_id`` and ``text``
@@ -73,6 +74,7 @@ RULES = [
 
 _OTHER = re.compile(r"[^a-z0-9]+")
 _STOP = re.compile(r"[.!?:;]+(?=\s|\Z)|\n[ \t\r]*\n")
+_SIGN = re.compile(r"[A-Za-z0-9]+")
 _LINE = re.compile(r"[^\n]+")
 
 
@@ -85,6 +87,13 @@ class Rules:
 
     def __init__(self, sentences: dict[str, str], rules: list[tuple[str, list[str]]]) -> None:
         self.ids = {normalise(s): name for name, s in sentences.items()}
+        # parts of sentences with stops inside: by their first part, the others in order
+        self.parts: dict[str, list[tuple[list[str], str]]] = {}
+        for name, s in sentences.items():
+            parts = [part for part in map(normalise, _STOP.split(s)) if part]
+            if len(parts) > 1:
+                self.parts.setdefault(parts[0], []).append((parts[1:], name))
+        self.heads = {part.split()[0] for first, others in self.parts.items() for rest, _ in others for part in (first, *rest)}
         self.longest = max(map(len, self.ids), default=0)
         self.by_first: dict[str, list[tuple[str, list[str]]]] = {}
         for licence, order in sorted(rules, key=lambda r: -len(r[1])):
@@ -97,7 +106,7 @@ class Rules:
         """Begin, end and identifier of each known sentence, in order."""
         if self.signs is None or self.signs.search(text) is None:
             return []
-        spans, at = set(), 0
+        spans, at, found = set(), 0, set()
         for stop in _STOP.finditer(text):
             spans.add((at, stop.start()))
             at = stop.end()
@@ -110,15 +119,39 @@ class Rules:
             while line >= 0:
                 spans.add((line + 1, b))
                 line = text.find("\n", line + 1, b)
-        found = set()
+        if self.parts:
+            ends: dict[int, list[int]] = {}
+            for a, b in spans:
+                first = _SIGN.search(text, a, b) if b - a <= reach else None
+                if first and first.group().lower() in self.heads:
+                    ends.setdefault(first.start(), []).append(b)
+            for begin, stops in ends.items():
+                for b in stops:
+                    for rest, name in self.parts.get(normalise(text[begin:b]), []):
+                        stop = self._follow(text, b, rest, ends)
+                        if stop is not None:
+                            found.add((begin, begin + len(text[begin:stop].rstrip(" \t\r\n.!?:;")), name))
+        in_parts = {(b, name) for _, b, name in found}
         for a, b in spans:
             if b - a <= reach:
                 name = self.ids.get(normalise(text[a:b]))
                 if name is not None:
                     part = text[a:b]
-                    found.add((a + len(part) - len(part.lstrip()), a + len(part.rstrip(" \t\r\n.!?:;")), name))
+                    end = a + len(part.rstrip(" \t\r\n.!?:;"))
+                    if (end, name) not in in_parts:
+                        found.add((a + len(part) - len(part.lstrip()), end, name))
         return sorted(found)
 
+    @staticmethod
+    def _follow(text: str, at: int, rest: list[str], ends: dict[int, list[int]]) -> int | None:
+        """Where the last of the parts ends if they follow from ``at`` on."""
+        for part in rest:
+            first = _SIGN.search(text, at)
+            at = next((b for b in ends.get(first.start(), []) if normalise(text[first.start() : b]) == part), None) if first else None
+            if at is None:
+                return None
+        return at
+
     def matches(self, text: str | None) -> tuple[int, list[tuple[str, int, int]]]:
         """Known sentences, and licence, begin and end of each match."""
         known = self.known(text or "")

@@ -1,6 +1,7 @@
 """Operators 3, 4, 5, 8, 9 and 10: brute force, round trips and held-out accuracy."""
 
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -260,3 +261,29 @@ def test_language_model_learns_from_every_document(spark):
     assert lm.fit(docs, counts, max_documents=10).trained == counts.agg({"c": "sum"}).first()[0]
     rows = lm.likelihoods(docs, docs, max_documents=0).collect()  # nothing but what all documents teach
     assert sum(r["score"] - r["base_score"] for r in rows) / sum(r["n_tokens"] for r in rows) > 0.2
+
+
+def test_every_licence_rule_on_its_wrapped_notice():
+    ready = licenses.Rules(licenses.SENTENCES, licenses.RULES)
+    for licence, order in licenses.RULES:
+        whole = ". ".join(licenses.SENTENCES[k] for k in order) + "."
+        for lead in ("", " * ", "    "):
+            text = "x\n\n" + "\n".join(lead + line for line in textwrap.wrap(whole, 70)) + "\n\nmore"
+            known, found = ready.matches(text)
+            assert (known, [m[0] for m in found]) == (len(order), [licence]), (licence, lead)
+    notice = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+    (found,) = ready.matches("Intro\n" + notice)[1]
+    assert found[0] == "GPL-3.0" and ("Intro\n" + notice)[found[1] : found[2]].endswith("along with this program")
+    assert ready.matches(" * " + licenses.SENTENCES["gpl-redistribute"] + ".")[0] == 1
+    assert ready.matches("This program is free software: no. You can redistribute it")[0] == 0
