@@ -4,8 +4,10 @@ A text is cut into windows of ``WINDOW`` bytes. Bytes are embedded, filters of w
 over the window, the largest response of each filter goes through a softmax over the languages. The
 probabilities of all windows of the whole text are averaged, a last short window by its share.
 
-The network is trained in numpy on windows of at most ``max_documents`` labelled documents, those with the
-smallest hash of their id. Scoring uses the same filters summed up beforehand for every pair of
+The network is trained in numpy on windows of at most ``per_language`` labelled documents of each language, those
+with the smallest hash of their id, so no language is left out for being rare. A language of few
+documents gives more windows of each, and if these are still fewer than those of another language they are repeated:
+all languages count the same in training, however many documents they have. Scoring uses the same filters summed up beforehand for every pair of
 bytes, which gives the same responses with a few look-ups per byte.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is every text where
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressroom.llm.rows import crc_fold
@@ -28,6 +30,8 @@ WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 8
 PLACES = WINDOW - max(WIDTHS) + 1
 UNKNOWN = "und"
 WINDOWS_AT_ONCE = 512
+# Windows of a language that training sees, and the least taken of each document.
+WINDOWS, EACH = 1500, 3
 CHUNK = 1 << 19
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -171,46 +175,57 @@ class ByteNet:
         return langs, scores
 
 
-def _some_windows(each: int):
+def _some_windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """At most ``each`` windows of a text, spread over it by a hash of the id."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            ids, langs, out = [], [], []
-            for doc_id, text, lang in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "lang")), strict=True):
-                x = windows_of((text or "").encode("utf-8", "surrogatepass"))
-                for k in range(min(each, len(x))):
-                    ids.append(doc_id)
-                    langs.append(lang)
-                    out.append(x[(doc_id * 2654435761 % 4294967291 + k * len(x) // each) % len(x)].tobytes())
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["doc_id", "lang", "x"])
-
-    return run, "doc_id bigint, lang string, x binary"
-
-
-def fit(docs: DataFrame, max_documents: int = 2000, each: int = 3) -> ByteNet:
-    """A network trained on a sample of the documents with a language that are not held out."""
+    for part in parts:
+        ids, langs, out, most = [], [], [], []
+        for doc_id, text, lang, each in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "lang", "each")), strict=True):
+            x = windows_of((text or "").encode("utf-8", "surrogatepass"))
+            n = min(each, len(x))
+            for k in range(n):
+                ids.append(doc_id)
+                langs.append(lang)
+                most.append(each)
+                out.append(x[(doc_id * 2654435761 % 4294967291 + k * len(x) // n) % len(x)].tobytes())
+        yield pa.record_batch(
+            [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(most, pa.int64()), pa.array(out, pa.binary())],
+            names=["doc_id", "lang", "each", "x"],
+        )
+
+
+def fit(docs: DataFrame, per_language: int = 500) -> ByteNet:
+    """A network trained on a sample of each language of the documents that are not held out."""
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang").filter("lang is not null and doc_id is not null and text is not null")
+    ids = named.filter(crc_fold("doc_id", FOLDS) != HELD_OUT).groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    of_lang = Window.partitionBy("lang")
     sample = (
-        named.filter(crc_fold("doc_id", FOLDS) != HELD_OUT)
-        .select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
+        ids.withColumn("place", F.row_number().over(of_lang.orderBy(F.xxhash64("doc_id"), "doc_id")))
+        .filter(F.col("place") <= per_language)
+        .withColumn("each", F.greatest(F.lit(EACH), F.ceil(WINDOWS / F.count("*").over(of_lang))).cast("bigint"))
+        .select("doc_id", "lang", "each")
     )
-    picked = named.join(F.broadcast(sample), "doc_id").mapInArrow(*_some_windows(each))
-    one_each = picked.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.slice(F.array_sort(F.collect_set("x")), 1, each).alias("x"))
-    rows = one_each.orderBy("doc_id").toArrow()
+    picked = named.join(F.broadcast(sample), ["doc_id", "lang"]).select("doc_id", "text", "lang", "each")
+    picked = picked.mapInArrow(_some_windows, "doc_id bigint, lang string, each bigint, x binary")
+    one_each = picked.groupBy("doc_id", "lang", "each").agg(F.array_sort(F.collect_set("x")).alias("x"))
+    rows = one_each.select("doc_id", "lang", F.slice("x", F.lit(1), F.col("each").cast("int")).alias("x")).orderBy("doc_id").toArrow()
     langs = [lang for lang, xs in zip(rows.column("lang").to_pylist(), rows.column("x").to_pylist(), strict=True) for _ in xs]
     data = b"".join(x for xs in rows.column("x").to_pylist() for x in xs)
     languages = sorted(set(langs))
     net = ByteNet(languages)
     if len(languages) > 1:
         x = np.frombuffer(data, np.uint8).reshape(-1, WINDOW)
-        net.train(x, np.array([languages.index(lang) for lang in langs]))
+        y = np.searchsorted(languages, langs)
+        places = [np.flatnonzero(y == k) for k in range(len(languages))]
+        # at least as many windows as any language has, so that all count the same
+        most = max(map(len, places))
+        places = np.concatenate([np.resize(p, most) for p in places])
+        net.train(x[places], y[places])
     return net
 
 
-def predict_languages(docs: DataFrame, max_documents: int = 2000) -> DataFrame:
+def predict_languages(docs: DataFrame, per_language: int = 500) -> DataFrame:
     """``doc_id, lang_pred, score`` for every row."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, max_documents))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, per_language))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value.tables()

@@ -287,3 +287,17 @@ def test_every_licence_rule_on_its_wrapped_notice():
     assert found[0] == "GPL-3.0" and ("Intro\n" + notice)[found[1] : found[2]].endswith("along with this program")
     assert ready.matches(" * " + licenses.SENTENCES["gpl-redistribute"] + ".")[0] == 1
     assert ready.matches("This program is free software: no. You can redistribute it")[0] == 0
+
+
+def test_rare_language_is_learned(spark):
+    from pressroom.llm.langid import fit
+
+    rng = np.random.default_rng(4)
+
+    def text(letters):
+        return " ".join("".join(rng.choice(list(letters), 5)) for _ in range(60))
+
+    rows = [(k, text("abcdefghij"), "en") for k in range(600)] + [(600 + k, text("абвгдежзик"), "ru") for k in range(5)]
+    net = fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), 20).tables()
+    assert net.languages == ["en", "ru"]
+    assert net.predict([text("abcdefghij"), text("абвгдежзик")])[0] == ["en", "ru"]
