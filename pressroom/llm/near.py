@@ -4,16 +4,17 @@ Two documents are linked if their sets of word shingles have 100 * intersection
 union. Words are runs of characters other than white space, A-Z lower-cased; a text of fewer words
 than a shingle has its whole sequence as one, a text without words has an empty set and no link.
 
-1. Every text gives its shingles as 64-bit hashes, ``BANDS * ROWS`` minima of universal hashes
-   ``a * x + b`` of them, and one key per band of ``ROWS`` minima. With 24 bands of 6 minima a pair at
-   85 % has no band in common with a probability of 1 in 80,000.
+1. Every text gives its shingles as 64-bit hashes, ``bands * rows`` minima of universal hashes
+   ``a * x + b`` of them, and one key per band of ``rows`` minima. Both follow from ``percent``, so that a
+   pair at ``percent`` has no band in common with a probability of at most ``MISS``, 1 in 80,000: 24 bands of
+   6 at 85 %, 29 of 5 at 80 %, 40 of 2 at 50 %.
 2. Equal sets are one class with its smallest id from here on; copies are never paired.
 3. Classes with a band in common are candidates. Small bands are paired in full. In a large one,
    classes are compared with the class that has the most copies, so a large group of near copies costs
    a pair for each member. What is still apart after that is left to an exact prefix filter
    (``apart_pairs``): no band is too large to be finished, and none is cut short.
-4. Candidates whose signatures agree in fewer than ``percent`` less ``MARGIN`` points are dropped (five
-   standard deviations); for the others the full sets are compared.
+4. Candidates whose signatures agree in fewer than ``percent`` less five standard deviations are dropped
+   (15 points at 85 %, 17 at 80 %); for the others the full sets are compared.
 5. Linked classes are joined by large-star and small-star.
 
 Defined results: rows of a null ``doc_id`` are linked with nothing and kept. Rows that share a
@@ -21,6 +22,7 @@ Defined results: rows of a null ``doc_id`` are linked with nothing and kept. Row
 result. Only ``doc_id`` and ``text`` are looked at; other columns pass through ``near_dedup`` unchanged.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +36,34 @@ from pressroom.llm.rows import bucket, in_buckets_of, without
 from pressroom.plans.scratch import keep, stored_rows
 from pressroom.plans.skew import spread_join
 
-BANDS, ROWS = 24, 6
-MARGIN = 15
+MISS, DEVIATIONS = 1 / 80_000, 5
+# Minima of a text at most, where bands of one minimum do not need more.
+MINIMA = 160
 SMALL_BAND = 8
 # Shingles that are hashed at a time.
 BLOCK = 1 << 15
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows: the longest bands that miss a pair at ``percent`` no more often than ``MISS``."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be above 0 and at most 100")
+    found = None
+    for rows in range(1, MINIMA + 1):
+        alike = (percent / 100) ** rows
+        bands = math.ceil(math.log(MISS) / math.log1p(-alike)) if alike < 1 else 1
+        if found is not None and bands * rows > MINIMA:
+            break
+        found = bands, rows
+    return found
+
+
+def margin(percent: int, minima: int) -> int:
+    """Points that the agreement of the minima of a pair at ``percent`` stays below it at most."""
+    t = percent / 100
+    return math.ceil(100 * DEVIATIONS * math.sqrt(t * (1 - t) / minima))
+
+
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
     values = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return values[:n] | np.uint64(1), values[n:]
@@ -58,7 +81,7 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(h)
 
 
-def signatures(sets: list[np.ndarray], count: int = BANDS * ROWS) -> np.ndarray:
+def signatures(sets: list[np.ndarray], count: int) -> np.ndarray:
     """One row of ``count`` minima (32 bits each) for each non-empty set."""
     a, b = _coefficients(count)
     out = np.full((count, len(sets)), np.iinfo(np.uint64).max, np.uint64)
@@ -79,14 +102,14 @@ def signatures(sets: list[np.ndarray], count: int = BANDS * ROWS) -> np.ndarray:
     return (out.T >> np.uint64(32)).astype(np.uint32)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    keys = np.zeros((len(sig), BANDS), np.uint64)
-    for k in range(ROWS):
-        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, k::ROWS].astype(np.uint64) + np.arange(BANDS, dtype=np.uint64))
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    keys = np.zeros((len(sig), bands), np.uint64)
+    for k in range(rows):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, k::rows].astype(np.uint64) + np.arange(bands, dtype=np.uint64))
     return keys.view(np.int64)
 
 
-def _sketch(width: int):
+def _sketch(width: int, in_bands: int, in_rows: int):
     schema = pa.schema([
         ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
         ("bands", pa.list_(pa.int64())), ("sig", pa.list_(pa.int32())),
@@ -105,8 +128,8 @@ def _sketch(width: int):
                     filled = [sets[k] for k in full]
                     k1[full] = [mix(s).sum() for s in filled]
                     k2[full] = [mix(s ^ np.uint64(0x5DEECE66D)).sum() for s in filled]
-                    found = signatures(filled)
-                    keys = band_keys(found)
+                    found = signatures(filled, in_bands * in_rows)
+                    keys = band_keys(found, in_bands, in_rows)
                     for k, row_keys, row in zip(full, keys, found.view(np.int32), strict=True):
                         bands[k], sig[k] = row_keys, row
                 yield pa.record_batch(
@@ -138,8 +161,10 @@ class NearGroups:
 
     def __init__(self, docs: DataFrame, percent: int = 80, width: int = 5) -> None:
         self.percent, self.width = percent, width
+        in_bands, in_rows = banding(percent)
+        self.minima = in_bands * in_rows
         self.docs = docs.select("doc_id", "text")
-        self.sketches = keep(self.docs.mapInArrow(*_sketch(width)))
+        self.sketches = keep(self.docs.mapInArrow(*_sketch(width, in_bands, in_rows)))
         named = self.sketches.filter("n > 0 and doc_id is not null")
         self.classes = keep(
             named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -272,7 +297,7 @@ class NearGroups:
         agree = F.aggregate(F.zip_with("si", "sj", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
         alike = keep(
             self._with(self._with(pairs, sig_i, "i", "j"), sig_j, "j", "i")
-            .filter(100 * agree >= (self.percent - MARGIN) * BANDS * ROWS)
+            .filter(100 * agree >= (self.percent - margin(self.percent, self.minima)) * self.minima)
             .select("i", "j")
         )
         set_i = self.sets.select(F.col("doc_id").alias("i"), F.col("gs").alias("gi"))

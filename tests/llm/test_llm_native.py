@@ -146,3 +146,20 @@ def test_components_of_a_chain_and_a_star(spark):
     star = [(5, k) for k in range(100, 130)]
     found = got(components(spark.createDataFrame([*chain, *star, (7, 7)], "a bigint, b bigint")), "node", "component")
     assert found == sorted([(k, 10) for k in range(10, 41)] + [(5, 5)] + [(k, 5) for k in range(100, 130)], key=repr)
+
+
+def test_bands_keep_the_miss_bound_at_every_percent(spark):
+    from pressroom.llm import near
+
+    assert near.banding(85) == (24, 6) and near.banding(80) == (29, 5)
+    for percent in range(1, 101):
+        bands, rows = near.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 1 / 80_000 * (1 + 1e-9)
+        assert bands * rows <= near.MINIMA or rows == 1
+    # pairs at 0.5: of 40, fixed bands of six lost about 69 %
+    rows = []
+    for k in range(40):
+        own = [f"s{k}x{i}" for i in range(40)]
+        rows += [(2 * k, " ".join(own[:30])), (2 * k + 1, " ".join(own[10:]))]
+    found = near.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=50, width=1)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {d: d - d % 2 for d, _ in rows}
