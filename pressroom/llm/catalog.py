@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressroom.llm import sql
+from pressroom.llm.audit import filter_audit
 from pressroom.llm.decontaminate import contamination
 from pressroom.llm.exact import exact_groups
 from pressroom.llm.html_main import extract_main
 from pressroom.llm.langid import FOLDS, HELD_OUT, predict_languages
 from pressroom.llm.licenses import licence_names, license_scan
+from pressroom.llm.line_dedup import clean_lines
 from pressroom.llm.lm import held_out, likelihoods
 from pressroom.llm.mixing import mixed_documents
 from pressroom.llm.near import near_groups
+from pressroom.llm.negatives import hard_negatives, integer_vectors
 from pressroom.llm.quality import GOOD, quality_scores
 from pressroom.llm.rows import crc_fold, documents
 from pressroom.llm.token_counts import token_counts
@@ -78,6 +81,24 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", F.size("matches").cast("bigint").alias("n_matches"), licence_names().alias("licenses"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = F.sha2(F.coalesce("kept", F.lit("")), 256)
+    return clean_lines(documents(spark, folder)).select("doc.doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    given = F.col("label").cast("bigint")
+    label = F.when(F.col("vec_id") % 7 == 0, (given + 1) % 10).otherwise(given)
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select(
+        "vec_id", label.alias("label"), integer_vectors(F.col("embedding")).alias("v"), (F.col("vec_id") % 50 == 0).alias("anchor")
+    )
+    return hard_negatives(vectors)
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
@@ -89,6 +110,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_language_id": op9_language_id,
     "op10_licenses": op10_licenses,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 
@@ -97,4 +121,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": sql.OP1, "op2_exact_dedup": sql.OP2, "op6_mixing": sql.OP6, "op7_near_dedup": sql.OP7}
+    return {
+        "op1_decontamination": sql.OP1,
+        "op2_exact_dedup": sql.OP2,
+        "op6_mixing": sql.OP6,
+        "op7_near_dedup": sql.OP7,
+        "op11_filter_audit": sql.OP11,
+        "op12_line_dedup": sql.OP12,
+        "op13_hard_negatives": sql.OP13,
+    }

@@ -155,3 +155,94 @@ reach(doc_id, r) as (
 select doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept
 from (select doc_id, min(r) as component_id from reach group by 1) left join n using (doc_id)
 """
+
+# Every order walked step by step; the share of a filter is what it removes, summed over all orders.
+OP11 = r"""
+with w as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws
+  from documents
+),
+flagged as (
+  select part, coalesce(quality = 1, false) as good, coalesce(toxic = 1, false) as toxic,
+    case when len(ws) < 200 then 'A' else '' end
+    || case when 100 * len(list_distinct(ws)) < 50 * len(ws) then 'B' else '' end
+    || case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) then 'C' else '' end
+    || case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end
+    || case when doc_id > min(doc_id) over (partition by text) then 'E' else '' end as fails
+  from w left join (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by 1) using (doc_id)
+),
+counted as (
+  select part, fails, count(*) as n, count(*) filter (good) as g, count(*) filter (toxic) as t from flagged group by 1, 2
+),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+orders as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order
+  from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+),
+steps as (
+  select filter_order, step, filter_order[step] as f, filter_order[1:step - 1] as before
+  from orders, (select unnest(range(1, 6))::int as step)
+),
+walked as (
+  select part, filter_order, step, f,
+    sum(n) filter (length(translate(fails, before || f, '')) = length(fails)) as kept,
+    sum(n) filter (contains(fails, f) and length(translate(fails, before, '')) = length(fails)) as removed,
+    sum(n) filter (contains(fails, f) and length(translate(fails, before, '')) < length(fails)) as redundant,
+    sum(n) filter (fails = f) as unique_fails,
+    sum(g) filter (contains(fails, f) and length(translate(fails, before, '')) = length(fails)) as good_lost,
+    sum(t) filter (contains(fails, f) and length(translate(fails, before, '')) = length(fails)) as toxic_lost
+  from counted, steps group by 1, 2, 3, 4
+)
+select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed,
+  coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+  coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+  (sum(coalesce(removed, 0)) over (partition by part, f))::bigint as shapley
+from walked
+"""
+
+OP12 = """
+with l as (
+  select doc_id, generate_subscripts(ls, 1) as place, unnest(ls) as line
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents)
+),
+k as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from l
+),
+shared as (
+  select key, max(doc_id) as last from k where length(key) >= 40 group by 1 having count(distinct doc_id) >= 5
+),
+marked as (select k.*, last is not null and doc_id <> last as gone from k left join shared using (key))
+select doc_id, count(*)::bigint as n_lines, (count(*) filter (gone))::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by place) filter (not gone), '')) as kept_sha256
+from marked group by 1
+"""
+
+# All rows scored with every anchor.
+OP13 = """
+with e as materialized (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    [floor(256 * x::double) for x in embedding] as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len([x for x in embedding if x is not null and isfinite(x)]) = len(embedding)
+),
+scored as materialized (
+  select a.vec_id as anchor_id, b.vec_id as vec_id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+  from e a join e b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id
+),
+pos as (
+  select anchor_id, vec_id as positive_id, score as positive_score
+  from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id,
+  (row_number() over (partition by anchor_id, positive_id order by score desc, vec_id))::int as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from pos join scored using (anchor_id)
+where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 3
+"""

@@ -38,7 +38,7 @@ def got(df, *cols):
 
 def test_sql_names_are_queries():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in catalog.queries()} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in catalog.queries()} == set(range(1, 14))
 
 
 def test_exact_keeps_longest_then_smallest(docs):
