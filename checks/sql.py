@@ -72,6 +72,13 @@ PARTS: dict[str, tuple[list[str], str]] = {
              r AS (SELECT doc_id, count(*) AS n FROM read_pairs GROUP BY doc_id)
         SELECT i, j, c, c * 1000000 // (a.n + b.n - c) AS jac
         FROM p JOIN r a ON a.doc_id = i JOIN r b ON b.doc_id = j"""),
+    "coread": (["read_pairs"], """
+        WITH n AS (SELECT doc_id, count(*) AS n FROM read_pairs WHERE doc_id IS NOT NULL GROUP BY doc_id),
+             c AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM read_pairs a JOIN read_pairs b USING (user_id)
+                   WHERE a.doc_id <> b.doc_id GROUP BY ALL)
+        SELECT *, row_number() OVER (PARTITION BY i ORDER BY jac DESC, j) AS rk FROM
+            (SELECT i, j, c, c * 1000000 // (x.n + y.n - c) AS jac
+             FROM c JOIN n x ON x.doc_id = i JOIN n y ON y.doc_id = j)"""),
     "matched": (["scores"], """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, doc_id) AS rk
                        FROM scores) WHERE rk <= 20"""),
@@ -191,6 +198,7 @@ RESULTS = {
         "",
     ),
     "next_read": ("together", _big("i", "j", "c", "jac"), ""),
+    "read_together": ("coread", _big("i", "j", "c", "jac", "rk"), "WHERE rk <= 10"),
     "interest_profile": ("interest", f"user_id, w, {_big('iw', 'rk')}", ""),
     "interest_match": ("matched", f"user_id, doc_id, {_big('score', 'rk')}", ""),
     "unread": ("fresh", f"user_id, doc_id, {_big('score', 'rk')}", "WHERE rk <= 20"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressroom.functions.text import least_length
-from pressroom.operators import duplicates, interest, keywords, learned, reading, recommend, summary, topics
+from pressroom.operators import duplicates, interest, keywords, learned, reading, recommend, summary, together, topics
 from pressroom.plans import feed
 from pressroom.plans.scratch import keep
 from pressroom.sources import tables
@@ -112,6 +112,7 @@ _QUERIES: dict[str, Callable[[Steps], DataFrame]] = {
     "interest_match": _interest_match,
     "unread": _unread,
     "next_read": lambda s: reading.next_read(s.reads),
+    "read_together": lambda s: together.read_together(s.reads),
     "shingles": lambda s: duplicates.shingle_rows(s.docs),
     "duplicate_groups": lambda s: s.duplicate_groups(),
     "topic_rounds": _topic_rounds,
