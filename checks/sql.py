@@ -101,6 +101,17 @@ PARTS: dict[str, tuple[list[str], str]] = {
                    ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
         SELECT i, j FROM o JOIN n a ON a.doc_id = i JOIN n b ON b.doc_id = j WHERE 2 * o >= a.n + b.n - o"""),
     "both_ways": (["near"], "SELECT i, j FROM near UNION ALL SELECT j, i FROM near"),
+    "set_classes": (["first_grams"], """
+        SELECT first_id, min(first_id) OVER (PARTITION BY gs) AS class_id FROM
+            (SELECT doc_id AS first_id, string_agg(g, '|' ORDER BY g) AS gs FROM first_grams GROUP BY doc_id)"""),
+    "class_members": (["copies", "set_classes"], """
+        SELECT doc_id, first_id, coalesce(class_id, first_id) AS class_id FROM copies LEFT JOIN set_classes USING (first_id)"""),
+    "link_counts": (["both_ways", "class_members"], """
+        SELECT i AS first_id, count(*) AS n_links FROM both_ways JOIN class_members a ON a.doc_id = i
+        JOIN class_members b ON b.first_id = j WHERE a.class_id <> b.class_id GROUP BY i"""),
+    "linked": (["class_members", "link_counts"], """
+        SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, coalesce(n_links, 0) AS n_links
+        FROM class_members LEFT JOIN link_counts USING (first_id)"""),
     "reach": (["both_ways", "copies"], """
         SELECT first_id AS a, first_id AS b FROM copies
         UNION SELECT reach.a, both_ways.j FROM reach JOIN both_ways ON reach.b = both_ways.i"""),
@@ -204,6 +215,7 @@ RESULTS = {
     "unread": ("fresh", f"user_id, doc_id, {_big('score', 'rk')}", "WHERE rk <= 20"),
     "recommend": ("fresh", f"user_id, doc_id, {_big('score', 'rk')}", "WHERE rk <= 10"),
     "shingles": ("grams", "doc_id, g", ""),
+    "near_links": ("linked", f"doc_id, class_id, {_big('class_size', 'n_links')}", ""),
     "duplicate_groups": ("grouped", "doc_id, group_id", ""),
     "remove_duplicates": (
         "documents JOIN (SELECT group_id, count(*) AS group_size FROM grouped GROUP BY group_id)"

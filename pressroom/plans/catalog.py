@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressroom.functions.text import least_length
-from pressroom.operators import duplicates, factors, interest, keywords, learned, reading, recommend, summary, together, topics
+from pressroom.operators import duplicates, factors, interest, keywords, learned, links, reading, recommend, summary, together, topics
 from pressroom.plans import feed
 from pressroom.plans.scratch import keep
 from pressroom.sources import tables
@@ -115,6 +115,7 @@ _QUERIES: dict[str, Callable[[Steps], DataFrame]] = {
     "read_together": lambda s: together.read_together(s.reads),
     "als_recommend": lambda s: factors.als_recommend(s.reads),
     "shingles": lambda s: duplicates.shingle_rows(s.docs),
+    "near_links": lambda s: links.near_links(s.docs, s.copies()),
     "duplicate_groups": lambda s: s.duplicate_groups(),
     "topic_rounds": _topic_rounds,
     "kmeans_topics": lambda s: learned.kmeans_topics(s.docs),
