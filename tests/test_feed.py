@@ -37,7 +37,7 @@ def test_entry_keeps_its_limits(spark):
 
 
 def test_names_of_queries_and_sql():
-    assert set(catalog.queries()) - set(sql.oracle_sql()) == {"kmeans_topics"}
+    assert set(catalog.queries()) - set(sql.oracle_sql()) == {"als_recommend"}
     assert set(sql.oracle_sql()) <= set(catalog.queries())
     assert set(oracle_sql()) <= set(queries())
 
