@@ -152,14 +152,6 @@ PARTS |= {
     "topics": (["in2"], """
         SELECT doc_id, d.lang, coalesce(topic, 0) AS topic FROM documents d LEFT JOIN in2 USING (doc_id)"""),
     "labels": (["topics"], "SELECT doc_id, topics.lang, topic, source FROM topics JOIN documents USING (doc_id)"),
-    "best_views": (["labels", "totals", "grouped"], """
-        SELECT *, row_number() OVER (PARTITION BY lang, topic ORDER BY score DESC, doc_id) AS rk FROM
-            (SELECT lang, topic, source, doc_id, score FROM
-                (SELECT *, row_number() OVER (PARTITION BY lang, topic, source ORDER BY score DESC, doc_id) AS o FROM
-                    (SELECT *, coalesce(total, 0) AS score FROM labels
-                     SEMI JOIN (SELECT doc_id FROM grouped WHERE doc_id = group_id) USING (doc_id)
-                     LEFT JOIN totals USING (doc_id) WHERE topic > 0))
-             WHERE o = 1)"""),
     "label_words": (["cards", "topics"], """
         SELECT lang, topic, w, iw FROM
             (SELECT *, row_number() OVER (PARTITION BY lang, topic ORDER BY iw DESC, w) AS rk FROM
@@ -179,6 +171,72 @@ PARTS |= {
         LEFT JOIN (SELECT doc_id, string_agg(line, ' ' ORDER BY line_no) AS summary FROM summary GROUP BY doc_id)
             USING (doc_id)"""),
 }
+
+
+def _drawn(turn: int) -> str:
+    return f"('0x' || substr(md5('7:{turn}:' || doc_id), 1, 13))::bigint / 4503599627370496.0::double"
+
+
+def _nearest(centres: str) -> str:
+    return f"""
+        SELECT doc_id, topic, sim FROM
+            (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, topic) AS rk FROM
+                (SELECT doc_id, topic, sum(v * u)::bigint AS sim FROM unit JOIN {centres} USING (w) GROUP BY ALL))
+        WHERE rk = 1"""
+
+
+PARTS |= {
+    "unit": (["kw"], """
+        SELECT * FROM (SELECT doc_id, w, floor(1000.0::double * pm / sqrt((sum(pm * pm) OVER (PARTITION BY doc_id))::double))::bigint AS v
+                       FROM kw WHERE pm > 0) WHERE v > 0"""),
+    "able": (["unit", "copies"], """
+        SELECT DISTINCT doc_id FROM unit SEMI JOIN (SELECT doc_id FROM copies WHERE doc_id = first_id) USING (doc_id)"""),
+    "drawn0": (["able"], f"SELECT doc_id FROM able ORDER BY {_drawn(0)}, doc_id LIMIT 1"),
+}
+for _r in (1, 2):
+    PARTS[f"known{_r}"] = ([f"drawn{_r - 1}", "unit"], f"""
+        SELECT doc_id AS topic, w, v AS u FROM unit SEMI JOIN drawn{_r - 1} USING (doc_id)""")
+    PARTS[f"away{_r}"] = (["able", "unit", f"known{_r}"], f"""
+        SELECT doc_id, greatest(0, 1000000 - coalesce(sim, 0))::double AS d FROM able LEFT JOIN ({_nearest(f"known{_r}")}) USING (doc_id)""")
+    PARTS[f"drawn{_r}"] = ([f"drawn{_r - 1}", f"away{_r}"], f"""
+        SELECT doc_id FROM drawn{_r - 1} UNION SELECT doc_id FROM away{_r}
+        WHERE d > 0 AND {_drawn(_r)} * (SELECT sum(d) FROM away{_r}) < 40.0::double * d""")
+PARTS |= {
+    "known3": (["drawn2", "unit"], "SELECT doc_id AS topic, w, v AS u FROM unit SEMI JOIN drawn2 USING (doc_id)"),
+    "centres0": (["known3", "able", "unit"], f"""
+        SELECT t.topic, w, v AS u FROM unit JOIN
+            (SELECT topic AS doc_id, row_number() OVER (ORDER BY count(*) DESC, topic) AS topic
+             FROM ({_nearest("known3")}) SEMI JOIN able USING (doc_id) GROUP BY topic) t USING (doc_id)
+        WHERE t.topic <= 20"""),
+    "near2": (["unit", "centres2"], _nearest("centres2")),
+    "clustered": (["near2"], "SELECT doc_id, coalesce(topic, 0) AS topic FROM documents LEFT JOIN near2 USING (doc_id)"),
+}
+for _r in (0, 1):
+    PARTS[f"near{_r}"] = (["unit", f"centres{_r}"], _nearest(f"centres{_r}"))
+    PARTS[f"centres{_r + 1}"] = (["unit", f"near{_r}"], f"""
+        SELECT topic, w, floor(1000000.0::double * c / sqrt((sum(c * c) OVER (PARTITION BY topic))::double))::bigint AS u FROM
+            (SELECT topic, w, (sum(v) * 1000 // any_value(members))::bigint AS c
+             FROM unit JOIN near{_r} USING (doc_id) JOIN (SELECT topic, count(*) AS members FROM near{_r} GROUP BY topic) USING (topic)
+             GROUP BY topic, w)
+        WHERE c > 0
+        QUALIFY u > 0""")
+PARTS["picked0"] = ([], """
+    SELECT NULL::VARCHAR AS lang, NULL::BIGINT AS topic, NULL::VARCHAR AS source, NULL::BIGINT AS doc_id,
+        NULL::BIGINT AS score, NULL::BIGINT AS rk WHERE false""")
+for _r in range(1, 11):  # per topic and round, what adds most to what was picked before
+    PARTS[f"picked{_r}"] = ([f"picked{_r - 1}", "labels", "kw"], f"""
+        WITH last AS (SELECT lang, topic, source, doc_id, score, {_r} AS rk FROM
+                (SELECT l.lang, l.topic, l.source, doc_id, sum(pm)::bigint AS score,
+                    row_number() OVER (PARTITION BY l.lang, l.topic ORDER BY sum(pm) DESC, doc_id) AS best
+                 FROM labels l JOIN kw USING (doc_id)
+                 WHERE l.topic > 0 AND pm > 0
+                    AND NOT EXISTS (SELECT 1 FROM picked{_r - 1} p JOIN kw k ON k.doc_id = p.doc_id AND k.pm > 0
+                        WHERE p.lang IS NOT DISTINCT FROM l.lang AND p.topic = l.topic AND k.w = kw.w)
+                    AND NOT EXISTS (SELECT 1 FROM picked{_r - 1} p WHERE p.lang IS NOT DISTINCT FROM l.lang
+                        AND p.topic = l.topic AND p.source IS NOT DISTINCT FROM l.source)
+                 GROUP BY l.lang, l.topic, l.source, doc_id)
+             WHERE best = 1)
+        SELECT * FROM picked{_r - 1} UNION ALL SELECT * FROM last""")
 for _name, _from in (("limited", "pool"), ("feed", "offers")):
     PARTS[_name] = ([_from], f"""
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, doc_id) AS rank FROM
@@ -225,9 +283,10 @@ RESULTS = {
     ),
     "topic_rounds": ("in2", f"doc_id, lang, {_big('topic')}", ""),
     "topic_group": ("topics", f"doc_id, lang, {_big('topic')}", ""),
+    "kmeans_topics": ("clustered", f"doc_id, {_big('topic')}", ""),
     "topic_labels": ("label_words", f"lang, {_big('topic')}, w, {_big('iw')}", ""),
     "perspectives": (
-        "best_views", f"lang, {_big('topic')}, source, doc_id, {_big('score', 'rk')}", "WHERE rk <= 10"
+        "picked10", f"lang, {_big('topic')}, source, doc_id, {_big('score', 'rk')}", ""
     ),
     "limit_feed": (
         "limited", f"user_id, doc_id, score, lang, {_big('topic')}, source, {_big('rank')}", ""

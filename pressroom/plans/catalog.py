@@ -74,9 +74,8 @@ def _topic_labels(s: Steps) -> DataFrame:
 
 
 def _perspectives(s: Steps) -> DataFrame:
-    found, _, totals = s.topics()
-    stories = keep(s.duplicate_groups()).filter("doc_id = group_id").select("doc_id")
-    return topics.perspectives(s.docs.join(stories, "doc_id", "left_semi"), found, totals)
+    found, kw, _ = s.topics()
+    return topics.diverse_perspectives(topics.article_cards(s.docs, kw), s.docs, keep(found))
 
 
 def _limit_feed(s: Steps) -> DataFrame:

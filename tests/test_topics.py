@@ -1,7 +1,7 @@
 from pressroom.operators.keywords import article_totals, keyword_extract, weigh, word_counts
 from pressroom.operators.duplicates import equal_texts
 from pressroom.operators.learned import kmeans_topics
-from pressroom.operators.topics import perspectives, topic_group, topic_labels
+from pressroom.operators.topics import diverse_perspectives, perspectives, topic_group, topic_labels
 from pressroom.plans.scratch import keep
 from tests.conftest import SMALL
 
@@ -44,3 +44,46 @@ def test_kmeans_gives_equal_texts_one_topic(spark):
     found = kmeans_topics(docs, k=5).join(docs, "doc_id")
     assert found.count() == docs.count()
     assert found.groupBy("text").agg({"topic": "min"}).count() == found.select("text", "topic").distinct().count()
+
+
+def test_kmeans_splits_the_articles_and_takes_no_rows(spark, articles):
+    from pressroom.sources.tables import articles as read
+
+    docs = read(spark, "/root/testdata/sf0.01")
+    sizes = {r.topic: r["count"] for r in kmeans_topics(docs).groupBy("topic").count().collect()}
+    assert set(sizes) <= set(range(21)) and max(sizes.values()) < sum(sizes.values()) / 2
+    assert kmeans_topics(articles("a", "b").limit(0)).count() == 0
+    assert [r.topic for r in kmeans_topics(articles("", None)).collect()] == [0, 0]
+
+
+def test_kmeans_keeps_apart_what_shares_no_word(spark, articles):
+    sport = ["goal match team", "match team cup", "team cup goal"]
+    law = ["vote party court", "party court judge", "court judge vote"]
+    found = {r.doc_id: r.topic for r in kmeans_topics(articles(*sport, *law, "goal match team"), k=6).collect()}
+    assert found[0] == found[6] > 0
+    assert not {found[n] for n in (0, 1, 2)} & {found[n] for n in (3, 4, 5)} - {0}
+
+
+def perspective_rows(spark, rows, given, n=10):
+    """``given`` has (id, outlet, {word: share}); all are of one topic, but those of lang fr of another."""
+    kws = "doc_id bigint, lang string, kws array<struct<w:string,pm:bigint>>"
+    cards = spark.createDataFrame([(i, None, list(k.items())) for i, _, k in given], kws)
+    docs = spark.createDataFrame([(i, o) for i, o, _ in given], "doc_id bigint, source string")
+    topics = spark.createDataFrame([(i, "fr" if i >= 90 else None, 1) for i, _, _ in given], "doc_id bigint, lang string, topic bigint")
+    return [r[1:] for r in sorted((r.rk, r.doc_id, r.score) if r.lang is None else (99 + r.rk, r.doc_id, r.score)
+                                  for r in diverse_perspectives(cards, docs, topics, n).collect())]
+
+
+def test_an_article_with_new_words_beats_the_heaviest_of_its_outlet(spark, rows):
+    given = [
+        (1, "a", {"x": 500, "y": 400}), (2, "b", {"x": 500, "y": 350, "z": 10}), (3, "b", {"v": 200, "w": 100}),
+        (4, "c", {"x": 500, "y": 400}), (5, None, {"v": 200, "u": 50}), (6, None, {"t": 40}),
+    ]
+    # 2 is the heaviest of outlet b, but adds 10 only; 4 is a copy of 1 and adds nothing; 5 and 6 are of one outlet
+    assert perspective_rows(spark, rows, given) == [(1, 900), (3, 300), (5, 50)]
+    assert perspective_rows(spark, rows, given, n=1) == [(1, 900)]
+
+
+def test_topics_take_perspectives_each_for_itself(spark, rows):
+    given = [(1, "a", {"x": 5}), (2, "b", {"x": 5}), (90, "a", {"x": 5}), (91, "a", {"y": 9}), (92, "b", {"x": 5})]
+    assert perspective_rows(spark, rows, given) == [(1, 5), (91, 9), (92, 5)]
