@@ -79,6 +79,10 @@ PARTS: dict[str, tuple[list[str], str]] = {
         SELECT *, row_number() OVER (PARTITION BY i ORDER BY jac DESC, j) AS rk FROM
             (SELECT i, j, c, c * 1000000 // (x.n + y.n - c) AS jac
              FROM c JOIN n x ON x.doc_id = i JOIN n y ON y.doc_id = j)"""),
+    "offered": (["coread", "read_pairs"], """
+        SELECT user_id, j AS doc_id, CAST(sum(jac) AS BIGINT) AS score
+        FROM read_pairs JOIN coread ON i = doc_id WHERE rk <= 10 GROUP BY user_id, j"""),
+    "unread_offers": (["offered", "read_pairs"], "SELECT * FROM offered ANTI JOIN read_pairs USING (user_id, doc_id)"),
     "matched": (["scores"], """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, doc_id) AS rk
                        FROM scores) WHERE rk <= 20"""),
@@ -270,7 +274,7 @@ RESULTS = {
     "read_together": ("coread", _big("i", "j", "c", "jac", "rk"), "WHERE rk <= 10"),
     "interest_profile": ("interest", f"user_id, w, {_big('iw', 'rk')}", ""),
     "interest_match": ("matched", f"user_id, doc_id, {_big('score', 'rk')}", ""),
-    "unread": ("fresh", f"user_id, doc_id, {_big('score', 'rk')}", "WHERE rk <= 20"),
+    "unread": ("unread_offers", "user_id, doc_id, score", ""),
     "recommend": ("fresh", f"user_id, doc_id, {_big('score', 'rk')}", "WHERE rk <= 10"),
     "shingles": ("grams", "doc_id, g", ""),
     "near_links": ("linked", f"doc_id, class_id, {_big('class_size', 'n_links')}", ""),

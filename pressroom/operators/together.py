@@ -155,3 +155,15 @@ def read_together(reads: DataFrame, k: int = 10) -> DataFrame:
     counted = common.groupBy("s", "l", "n", "m").agg(F.count("*").alias("c")).withColumn("jac", _jac("c", "n", "m"))
     sides = F.inline(F.array(F.struct(F.col("s").alias("i"), F.col("l").alias("j")), F.struct(F.col("l").alias("i"), F.col("s").alias("j"))))
     return _best(counted.select(sides, "c", "jac"), k)
+
+
+def neighbour_offers(reads: DataFrame, k: int = 10) -> DataFrame:
+    """``user_id, doc_id, score``: what is read together with the articles of a user, those read included.
+
+    Every article offers its ``k`` neighbours, and the score of an offer is the sum of their similarities, so a user
+    gets at most ``k`` offers for each article read.
+    """
+    neighbours = keep(read_together(reads, k)).select(F.col("i").alias("doc_id"), "j", "jac")
+    pairs = keep(reads.select("user_id", "doc_id").filter("user_id is not null and doc_id is not null").distinct())
+    offers = spread_join(pairs, neighbours, ["doc_id"], by="user_id")
+    return offers.groupBy("user_id", F.col("j").alias("doc_id")).agg(F.sum("jac").alias("score"))

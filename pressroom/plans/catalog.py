@@ -64,8 +64,8 @@ def _recommend(s: Steps) -> DataFrame:
 
 
 def _unread(s: Steps) -> DataFrame:
-    kw = s.keywords()
-    return recommend.recommend(s.interest(kw), kw, s.reads, n=20)
+    """Of all that is read together with a user's articles, what the user has not read."""
+    return recommend.unread(together.neighbour_offers(s.reads), s.reads)
 
 
 def _topic_labels(s: Steps) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from pressroom.operators.together import candidates, read_together
+from pressroom.operators.together import candidates, neighbour_offers, read_together
 from pressroom.plans.ranks import numbered
 
 
@@ -80,3 +80,15 @@ def test_places_of_rows(spark):
     whole = numbered(df.filter("g = 1").withColumn("y", -F.col("x")), ["y"])
     assert whole.filter("place <> 400 - x").count() == 0
     assert numbered(df.limit(0), ["x"]).count() == 0
+
+
+def test_offers_sum_up_the_neighbours_of_what_was_read(log):
+    pairs = [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (3, 3), (3, 2), (4, 9)]
+    near = {(i, j): jac for i, j, _, jac, _ in by_hand(pairs, 2)}
+    wanted = defaultdict(int)
+    for u, i in pairs:
+        for (a, j), jac in near.items():
+            if a == i:
+                wanted[u, j] += jac
+    found = neighbour_offers(log(pairs), 2).select("user_id", "doc_id", "score").collect()
+    assert sorted(tuple(r) for r in found) == sorted((u, j, s) for (u, j), s in wanted.items())
