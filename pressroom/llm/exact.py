@@ -13,8 +13,8 @@ Defined results: rows repeated with the same id and text count in ``group_size``
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.llm.rows import bucket, in_buckets_of, row_key, without
-from pressroom.plans.scratch import keep
+from pressroom.llm.rows import bucket, in_buckets_of, row_key, unused, without
+from pressroom.plans.scratch import keep, stored_rows
 from pressroom.plans.skew import spread_join
 
 # The characters that do not count.
@@ -38,8 +38,9 @@ def exact_groups(docs: DataFrame, prefix: int = 256, digest: bool = False) -> Da
 
     Each step counts its key over all rows that the step before left, and sends on only rows whose
     key some other row has too. What is broadcast between steps is a set of at most ``BUCKETS``
-    integers; a row that passes by chance costs one hash and ends alone. ``full_hash`` is null for
-    rows that no step found a partner for, unless ``digest`` asks for the hash of every row.
+    integers; a row that passes by chance costs one hash and ends alone. Only rows that passed are
+    grouped by ``full_hash`` and shuffled; it is null for the others, unless ``digest`` asks for the
+    hash of every row, which these then carry as a column and no more.
     """
     rows = docs.select(
         row_key().alias("row"),
@@ -56,26 +57,27 @@ def exact_groups(docs: DataFrame, prefix: int = 256, digest: bool = False) -> Da
     wanted = F.lit(True) if digest else F.col("hot")
     stamped = keep(
         third.join(survivors, "_b", "left").select(
-            "row", "doc_id", "points", F.when(wanted, F.unhex(F.sha2("whole", 256))).alias("full_hash")
+            "row", "doc_id", "points", F.coalesce("hot", F.lit(False)).alias("hot"),
+            F.when(wanted, F.unhex(F.sha2("whole", 256))).alias("full_hash"),
         )
     )
+    left = stamped.filter("hot")
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("z"), "doc_id"))
-    groups = (
-        stamped.filter("full_hash is not null")
-        .groupBy("full_hash")
-        .agg(F.count("*").alias("group_size"), best.alias("best"))
-        .filter("group_size > 1")
-    )
-    joined = spread_join(stamped, groups, ["full_hash"], by="row", how="left")
-    alone = F.col("best").isNull()
-    return joined.select(
+    groups = left.groupBy("full_hash").agg(F.count("*").alias("group_size"), best.alias("best"))
+    best_id, most = F.col("best.doc_id"), -F.col("best.p")
+    met = spread_join(left, groups, ["full_hash"], by="row", at_most=stored_rows(stamped)).select(
         "row",
         "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
-        (alone | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("points") == -F.col("best.p")))).alias("kept"),
+        best_id.alias("keep_id"),
+        "group_size",
+        (F.col("doc_id").eqNullSafe(best_id) & (F.col("points") == most)).alias("kept"),
         "full_hash",
     )
+    alone = stamped.filter("not hot").select(
+        "row", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
+        F.lit(True).alias("kept"), "full_hash",
+    )
+    return met.unionByName(alone)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -83,5 +85,6 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     groups = keep(exact_groups(docs))
     left = without(docs, row_key(), keep(groups.filter("not kept").select("row")))
     if not groups.filter("kept").groupBy("row").count().filter("count > 1").isEmpty():
-        left = left.withColumn("__row", row_key()).dropDuplicates(["__row"]).drop("__row")
+        row = unused("_row", left)
+        left = left.withColumn(row, row_key()).dropDuplicates([row]).drop(row)
     return left

@@ -36,6 +36,14 @@ def bucket(*keys: Column | str) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, lengthened until it is no column of ``frames``, in whatever case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def in_buckets_of(df: DataFrame, keys: Iterable[Column | str], wanted: DataFrame) -> DataFrame:
     """Rows of ``df`` whose keys fall into the same bucket as some row of ``wanted``.
 
@@ -43,8 +51,9 @@ def in_buckets_of(df: DataFrame, keys: Iterable[Column | str], wanted: DataFrame
     broadcast. Every wanted row passes, and some others: a cheap first sieve without a shuffle,
     to be followed by an exact step.
     """
-    few = F.broadcast(wanted.distinct().withColumnRenamed("bucket", "_bucket"))
-    return df.withColumn("_bucket", bucket(*keys)).join(few, "_bucket", "left_semi").drop("_bucket")
+    place = unused("_bucket", df)
+    few = F.broadcast(wanted.distinct().withColumnRenamed("bucket", place))
+    return df.withColumn(place, bucket(*keys)).join(few, place, "left_semi").drop(place)
 
 
 def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
@@ -52,12 +61,13 @@ def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
 
     Rows in no bucket of ``gone`` stay where they lie; only the others, with their texts, are shuffled.
     """
-    name = gone.columns[0]
-    few = F.broadcast(gone.select(bucket(name).alias("__bucket")).distinct())
-    marked = docs.withColumn("__key", key).withColumn("__bucket", bucket("__key"))
-    safe = marked.join(few, "__bucket", "left_anti")
-    open_rows = marked.join(few, "__bucket", "left_semi").join(gone.withColumnRenamed(name, "__key"), "__key", "left_anti")
-    return safe.select(*docs.columns).unionByName(open_rows.select(*docs.columns))
+    name, place = unused("_key", docs), unused("_bucket", docs)
+    gone = gone.toDF(name)
+    few = F.broadcast(gone.select(bucket(name).alias(place)).distinct())
+    marked = docs.withColumn(name, key).withColumn(place, bucket(name))
+    safe = marked.join(few, place, "left_anti")
+    open_rows = marked.join(few, place, "left_semi").join(gone, name, "left_anti")
+    return safe.drop(name, place).unionByName(open_rows.drop(name, place))
 
 
 def documents(spark, folder: str) -> DataFrame:
