@@ -396,7 +396,7 @@ def learn_all(training: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
 def _score(shared):
     """One row per text: what the model says and the words whose counts are to be looked up."""
     schema = pa.schema([
-        ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_frequent", pa.int64()), ("all_logs", pa.float64()),
+        ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_frequent", pa.int64()), ("all_logs", pa.float64()),
         ("learned_logs", pa.float64()), ("model", pa.float64()), ("hs", pa.list_(pa.int64())),
     ])
 
@@ -414,22 +414,22 @@ def _score(shared):
             logs = model.gru.documents(seqs) / np.log(10)
             tail = np.array([log_base[s[s >= LEARNED] - LEARNED].sum() for s in seqs])
             of_learned = np.array([learned_logs[s].sum() for s in seqs])
-            row, n, seen, all_logs, hs, _ = zip(*waiting, strict=True)
+            ids, n, seen, all_logs, hs, _ = zip(*waiting, strict=True)
             return pa.record_batch(
-                [pa.array(row, pa.int64()), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(all_logs),
+                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(all_logs),
                  pa.array(of_learned), pa.array(logs - tail), pa.array(hs, pa.list_(pa.int64()))],
                 schema=schema,
             )
 
         for part in parts:
-            rows = part.column("row").to_pylist()
+            ids = part.column("doc_id").to_pylist()
             for first, words in batches(part.column("text").to_pylist(), shaped_words):
                 for k, h in enumerate(words):
                     h = np.append(h, END)
                     at = np.minimum(np.searchsorted(model.frequent, h), max(len(model.frequent) - 1, 0))
                     seen = model.frequent[at] == h if len(model.frequent) else np.zeros(len(h), bool)
                     logs = float(model.log_counts[at[seen]].sum()) if seen.any() else 0.0
-                    waiting.append((rows[first + k], len(h), int(seen.sum()), logs, h[~seen].view(np.int64), model.ids(h)))
+                    waiting.append((ids[first + k], len(h), int(seen.sum()), logs, h[~seen].view(np.int64), model.ids(h)))
                     size += len(h)
                 if size >= TOKENS_AT_ONCE:
                     yield scored()
@@ -437,7 +437,7 @@ def _score(shared):
         if waiting:
             yield scored()
 
-    return run, "row bigint, n_tokens bigint, n_frequent bigint, all_logs double, learned_logs double, model double, hs array<bigint>"
+    return run, "doc_id bigint, n_tokens bigint, n_frequent bigint, all_logs double, learned_logs double, model double, hs array<bigint>"
 
 
 def likelihoods(docs: DataFrame, training: DataFrame, max_documents: int = 1500) -> DataFrame:
@@ -447,10 +447,10 @@ def likelihoods(docs: DataFrame, training: DataFrame, max_documents: int = 1500)
     """
     counts = keep(token_counts(training))
     model = fit(training, counts, max_documents)
-    rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    found = keep(rows.select("row", "text").mapInArrow(*_score(shared)))
-    names = keep(rows.select("row", "doc_id"))
+    # rows are numbered in the very table that is stored, so a number means one row, however often tasks are run
+    scored = docs.select("doc_id", "text").mapInArrow(*_score(shared))
+    found = keep(scored.withColumn("row", F.monotonically_increasing_id()))
     rare = (
         found.select("row", F.explode("hs").alias("h"))
         .join(counts, "h")
@@ -459,7 +459,7 @@ def likelihoods(docs: DataFrame, training: DataFrame, max_documents: int = 1500)
     )
     n, v = float(model.total), float(model.words)
     all_logs = F.col("all_logs") + F.coalesce("rare_logs", F.lit(0.0))
-    return names.join(found.drop("hs"), "row").join(rare, "row", "left").select(
+    return found.drop("hs").join(rare, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_frequent") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pressroom.llm import bytewords, catalog, html_main, licenses, lm, token_counts
 from pressroom.llm.quality import Votes, quality_filter, quality_scores, term_counts
@@ -188,6 +189,14 @@ def test_language_model_of_odd_rows(odd):
     assert lm.likelihoods(odd.limit(0), odd).count() == 0
 
 
+def test_language_model_scores_stay_with_their_documents(odd):
+    """Also where the input is shuffled anew each time it is read."""
+    training = odd.limit(3)
+    want = {(r["doc_id"], r["n_tokens"], round(r["base_score"], 9)) for r in lm.likelihoods(odd, training).collect()}
+    mixed = odd.orderBy(F.rand()).repartition(7)
+    assert {(r["doc_id"], r["n_tokens"], round(r["base_score"], 9)) for r in lm.likelihoods(mixed, training).collect()} == want
+
+
 def test_languages_of_held_out_documents(spark):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     rows = [r for r in catalog.op9_language_id(spark, SMALL).collect() if r["held_out"]]
