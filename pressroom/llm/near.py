@@ -81,6 +81,11 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(h)
 
 
+def _set_keys(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two sums over the shingles, which name a set together with its size; zero for an empty one."""
+    return mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64)
+
+
 def signatures(sets: list[np.ndarray], count: int) -> np.ndarray:
     """One row of ``count`` minima (32 bits each) for each non-empty set."""
     a, b = _coefficients(count)
@@ -126,8 +131,7 @@ def _sketch(width: int, in_bands: int, in_rows: int):
                 bands, sig = [None] * len(sets), [None] * len(sets)
                 if len(full):
                     filled = [sets[k] for k in full]
-                    k1[full] = [mix(s).sum() for s in filled]
-                    k2[full] = [mix(s ^ np.uint64(0x5DEECE66D)).sum() for s in filled]
+                    k1[full], k2[full] = zip(*map(_set_keys, filled), strict=True)
                     found = signatures(filled, in_bands * in_rows)
                     keys = band_keys(found, in_bands, in_rows)
                     for k, row_keys, row in zip(full, keys, found.view(np.int32), strict=True):
@@ -146,10 +150,16 @@ def _full_sets(width: int):
         for part in parts:
             ids = part.column("doc_id")
             for first, words in batches(part.column("text").to_pylist()):
-                gs = [shingle_set(w, width).view(np.int64) for w in words]
-                yield pa.record_batch([ids.slice(first, len(gs)), pa.array(gs, pa.list_(pa.int64()))], names=["doc_id", "gs"])
+                sets = [shingle_set(w, width) for w in words]
+                k1, k2 = zip(*map(_set_keys, sets), strict=True)
+                gs = [s.view(np.int64) for s in sets]
+                yield pa.record_batch(
+                    [ids.slice(first, len(gs)), pa.array(np.array(k1, np.uint64).view(np.int64)),
+                     pa.array(np.array(k2, np.uint64).view(np.int64)), pa.array(gs, pa.list_(pa.int64()))],
+                    names=["doc_id", "k1", "k2", "gs"],
+                )
 
-    return run, "doc_id bigint, gs array<bigint>"
+    return run, "doc_id bigint, k1 bigint, k2 bigint, gs array<bigint>"
 
 
 def _fits(a: str, b: str, percent: int) -> Column:
@@ -166,21 +176,17 @@ class NearGroups:
         self.docs = docs.select("doc_id", "text")
         self.sketches = keep(self.docs.mapInArrow(*_sketch(width, in_bands, in_rows)))
         named = self.sketches.filter("n > 0 and doc_id is not null")
-        self.classes = keep(
-            named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-        )
+        self.repeats = self._repeats(named)
+        self.classes = self._classes(named)
         self.cells = self._cells(named)
-        ids = keep(self.cells.select(F.col("rep").alias("doc_id")).distinct())
-        buckets, repeats = ids.select(bucket("doc_id").alias("bucket")), self._repeats(named)
+        reps = self.cells.select("rep").distinct()
         # signatures and sets only of classes that share a band: no other is ever compared
-        owners = self.classes.select(F.col("rep").alias("doc_id"), "k1", "k2").join(ids, "doc_id", "left_semi")
+        owners = keep(self.classes.join(reps, "rep", "left_semi").select(F.col("first").alias("doc_id"), "k1", "k2", "rep"))
+        buckets = owners.select(bucket("doc_id").alias("bucket"))
         close = in_buckets_of(named.select("doc_id", "k1", "k2", "sig"), ["doc_id"], buckets)
-        sigs = close.join(owners, ["doc_id", "k1", "k2"], "left_semi").select(F.col("doc_id").alias("rep"), "sig")
-        self.sigs = keep(sigs.dropDuplicates(["rep"]) if repeats else sigs)
-        close = in_buckets_of(self.docs, ["doc_id"], buckets)
-        sets = close.mapInArrow(*_full_sets(width)).join(ids, "doc_id", "left_semi")
-        self.sets = keep(sets.dropDuplicates(["doc_id"]) if repeats else sets)
-        self.edges: DataFrame | None = None
+        self.sigs = keep(self._once(close.join(owners, ["doc_id", "k1", "k2"]).select("rep", "sig")))
+        close = in_buckets_of(self.docs, ["doc_id"], buckets).mapInArrow(*_full_sets(width))
+        self.sets = keep(self._once(close.join(owners, ["doc_id", "k1", "k2"]).select("rep", "gs")))
         self.tested: DataFrame | None = None
         self.linked: DataFrame | None = None
 
@@ -188,12 +194,37 @@ class NearGroups:
     def _repeats(named: DataFrame) -> bool:
         return not named.groupBy("doc_id").count().filter("count > 1").isEmpty()
 
+    def _once(self, by_rep: DataFrame) -> DataFrame:
+        return by_rep.dropDuplicates(["rep"]) if self.repeats else by_rep
+
+    def _classes(self, named: DataFrame) -> DataFrame:
+        """``k1, k2, n, first, copies, rep``: each set with its smallest id, and the number it goes by.
+
+        That is the smallest id as well, but where texts of one id would share it: a hash of the set then.
+        """
+        found = named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+        if not self.repeats:
+            return keep(found.withColumn("rep", F.col("first")))
+        found = keep(found)
+        several = found.groupBy("first").agg((F.count("*") > 1).alias("several"))
+        rep = F.when(F.col("several"), F.xxhash64("k1", "k2", "n")).otherwise(F.col("first"))
+        return keep(spread_join(found, several, ["first"], by="k1").withColumn("rep", rep).drop("several"))
+
+    def _same_id(self) -> DataFrame:
+        """``a, b``: classes that hold texts of one id, each linked with one of them."""
+        named = self.sketches.filter("n > 0 and doc_id is not null").select("doc_id", "k1", "k2", "n")
+        again = named.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+        named = keep(named.join(again, "doc_id", "left_semi"))
+        reps = keep(spread_join(named, self.classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"], by="doc_id").select("doc_id", "rep"))
+        least = reps.groupBy("doc_id").agg(F.min("rep").alias("b"))
+        return spread_join(reps, least, ["doc_id"], by="rep").select(F.col("rep").alias("a"), "b")
+
     def _cells(self, named: DataFrame) -> DataFrame:
         """``band, rep, n, copies, size``: classes that share a band with another one."""
         reps = named.join(
-            self.classes.select(F.col("rep").alias("doc_id"), "k1", "k2", "copies"), ["doc_id", "k1", "k2"]
+            self.classes.select(F.col("first").alias("doc_id"), "k1", "k2", "rep", "copies"), ["doc_id", "k1", "k2"]
         )
-        cells = keep(reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("rep"), "n", "copies").distinct())
+        cells = keep(reps.select(F.explode("bands").alias("band"), "rep", "n", "copies").distinct())
         sizes = keep(cells.groupBy("band").agg(F.count("*").alias("rows")).filter("rows > 1"))
         return keep(
             spread_join(cells, sizes, ["band"], by="rep", sizes=sizes).withColumnRenamed("rows", "size")
@@ -239,9 +270,8 @@ class NearGroups:
         clusters = components(edges.distinct()).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
         nodes = keep(cells.select("rep", "n", "copies", "label").distinct().join(clusters, "rep"))
         pivots = nodes.groupBy("cluster").agg(centre.alias("p"))
-        sets = self.sets.withColumnRenamed("doc_id", "rep")
-        pivots = keep(pivots.join(sets.select(F.col("rep").alias("p"), F.col("gs").alias("gp")), "p"))
-        placed = spread_join(nodes.join(sets, "rep"), pivots, ["cluster"], by="rep", at_most=stored_rows(nodes))
+        pivots = keep(pivots.join(self.sets.select(F.col("rep").alias("p"), F.col("gs").alias("gp")), "p"))
+        placed = spread_join(nodes.join(self.sets, "rep"), pivots, ["cluster"], by="rep", at_most=stored_rows(nodes))
         differ = F.concat(F.array_except("gs", "gp"), F.array_except("gp", "gs"))
         return placed.select("cluster", "rep", "n", "label", "p", differ.alias("gd"), F.size("gp").alias("np"))
 
@@ -300,8 +330,8 @@ class NearGroups:
             .filter(100 * agree >= (self.percent - margin(self.percent, self.minima)) * self.minima)
             .select("i", "j")
         )
-        set_i = self.sets.select(F.col("doc_id").alias("i"), F.col("gs").alias("gi"))
-        set_j = self.sets.select(F.col("doc_id").alias("j"), F.col("gs").alias("gj"))
+        set_i = self.sets.select(F.col("rep").alias("i"), F.col("gs").alias("gi"))
+        set_j = self.sets.select(F.col("rep").alias("j"), F.col("gs").alias("gj"))
         found = keep(
             self._with(self._with(alike, set_i, "i", "j"), set_j, "j", "i")
             .select("i", "j", F.size("gi").alias("ni"), F.size("gj").alias("nj"), F.size(F.array_intersect("gi", "gj")).alias("o"))
@@ -327,12 +357,17 @@ class NearGroups:
                 self.test(self.apart_pairs(cells))
         keys = self.sketches.select("doc_id", "n", "k1", "k2")
         classes = self.classes
+        if self.repeats:
+            links = self._same_id()
+            if self.linked is not None:
+                links = links.unionByName(self.linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            self.linked = keep(components(links))
         if self.linked is not None:
-            classes = keep(
-                classes.join(self.linked.withColumnRenamed("node", "rep"), "rep", "left")
-                .withColumn("rep", F.coalesce("component", "rep"))
-                .drop("component")
-            )
+            classes = classes.join(self.linked.withColumnRenamed("node", "rep"), "rep", "left")
+            classes = keep(classes.withColumn("rep", F.coalesce("component", "rep")).drop("component"))
+        if self.repeats:  # a number need not be an id here
+            least = classes.groupBy("rep").agg(F.min("first").alias("least"))
+            classes = keep(spread_join(classes, least, ["rep"], by="k1").drop("rep").withColumnRenamed("least", "rep"))
         full = keep(keys.filter("n > 0 and doc_id is not null"))
         placed = spread_join(full, classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"], by="doc_id").select(
             "doc_id", "n", F.col("rep").alias("component_id")

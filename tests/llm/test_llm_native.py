@@ -59,6 +59,29 @@ def test_exact_repeated_null_and_no_rows(docs):
     assert exact_groups(df.limit(0)).count() == 0
 
 
+def test_groups_of_exact_copies_hold_only_rows_that_may_have_one(docs):
+    """Rows alone by length or prefix have a digest and are in no group; the plan groups nothing but the others."""
+    df = docs("a b", "ab", "cd", "efg", None, "x" * 300 + "y", "x" * 300 + "z")
+    out = exact_groups(df, digest=True)
+    assert all(r["full_hash"] is not None for r in out.collect())
+    none = exact_groups(df).filter("full_hash is null")
+    assert got(none, "doc_id", "keep_id", "group_size", "kept") == [(2, 2, 1, True), (3, 3, 1, True), (4, 4, 1, True)]
+    assert got(out, "doc_id", "keep_id", "group_size") == [(0, 0, 2), (1, 0, 2), (2, 2, 1), (3, 3, 1), (4, 4, 1), (5, 5, 1), (6, 6, 1)]
+
+
+def test_columns_that_operators_might_use_stay(spark):
+    """Columns named like the helper columns, in another case too, and a name with a dot."""
+    names = ["_row", "__row", "_key", "__key", "_Bucket", "__bucket", "bucket", "_b", "hot", "rep", "a.b"]
+    rows = [(1, "a"), (1, "a"), (2, "a"), (3, words(40)), (4, words(41)), (5, words(20, 500))]
+    schema = "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names)
+    df = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in names]) for i, t in rows], schema)
+    bench = spark.createDataFrame([("i", words(20, 500))], "item_id string, text string")
+    full = lambda *ids: sorted((i, t, *[f"{n}{i}" for n in names]) for i, t in dict(rows).items() if i in ids)
+    for out, ids in ((exact_dedup(df), (1, 3, 4, 5)), (near_dedup(df.filter("doc_id > 2")), (3, 5)), (decontaminate(df.filter("doc_id > 2"), bench), (3, 4))):
+        assert out.columns == df.columns
+        assert sorted(map(tuple, out.collect())) == full(*ids)
+
+
 def test_contamination(spark, docs):
     items = spark.createDataFrame([(1, words(12)), (2, "Only Three Words"), (3, None), (4, "..."), (None, "no id")], "item_id bigint, text string")
     df = docs(
@@ -141,6 +164,16 @@ def test_near_nulls_repeats_and_no_rows(docs):
     assert near_groups(df.limit(0)).count() == 0
 
 
+def test_near_links_of_every_text_of_an_id(docs):
+    """Texts of one id are one document, linked through each of them."""
+    a, b, c = words(60), words(60, 500), words(60, 900)
+    df = docs((1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, c), (4, c), (0, c + " z"), (6, a), (6, words(9, 2000)), (7, words(9, 2000)))
+    ones = {(i, 1) for i in (1, 2, 3, 6, 7)}
+    assert set(got(near_groups(df), "doc_id", "component_id")) == ones | {(0, 0), (4, 0)}
+    alone = docs((5, a), (5, b), (4, c))
+    assert got(near_groups(alone), "doc_id", "component_id") == [(4, 4), (5, 5), (5, 5)]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(k, k + 1) for k in range(10, 40)]
     star = [(5, k) for k in range(100, 130)]
