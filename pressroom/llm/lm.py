@@ -48,7 +48,29 @@ COUNTED_AT_ONCE = 1_000_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place: an array of the size of a window costs more to make than to fill."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place, by columns: numpy is slow at sums of many short rows."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
+    return x
+
+
+def _classes(token: np.ndarray) -> np.ndarray:
+    """The class or shape of each token, in bytes: numpy sorts these by counting."""
+    return np.where(token < LEARNED, token // CLASS_SIZE, token - LEARNED + CLASSES).astype(np.uint8)
+
+
+def _by_class(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens in order of class, and where each class of learned ones begins and ends."""
+    return np.argsort(group, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(group, minlength=CLASSES)[:CLASSES])))
 
 
 class Gru:
@@ -80,9 +102,13 @@ class Gru:
         self.p["cb"][:] = np.log(by_class / by_class.sum())
         return self
 
-    def forward(self, h: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The state after a token, and the gates on the way."""
-        a = self.p["x"][token] + self.p["b"]
+    def inputs(self) -> np.ndarray:
+        """What each token adds to the gates, one row per token."""
+        return self.p["x"] + self.p["b"]
+
+    def forward(self, h: np.ndarray, token: np.ndarray, inputs: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """The state after a token, and the gates on the way; ``inputs`` are those of the weights as they are."""
+        a = (self.inputs() if inputs is None else inputs)[token]
         g = h @ self.p["u"]
         n = HIDDEN
         gates = _sigmoid(a[:, : 2 * n] + g[:, : 2 * n])
@@ -90,24 +116,24 @@ class Gru:
         c = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
         return c + z * (h - c), z, r, c, g[:, 2 * n :]
 
-    @staticmethod
-    def _log_softmax(x: np.ndarray) -> np.ndarray:
-        x = x - x.max(axis=-1, keepdims=True)
-        x -= np.log(np.exp(x).sum(axis=-1, keepdims=True))
-        return x
-
     def log_probability(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Natural log of the probability of the class, and of the token in it if it is a learned one."""
-        group = np.where(token < LEARNED, token // CLASS_SIZE, token - LEARNED + CLASSES)
-        logits = h @ self.p["c"] + self.p["cb"]
-        out = logits[np.arange(len(token)), group] - np.log(np.exp(logits).sum(axis=1))
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        group = _classes(token)
+        logits = self.p["c"].T @ h.T
+        logits += self.p["cb"][:, None]
+        out = logits[group, np.arange(len(token))]
+        out -= np.log(np.exp(logits, out=logits).sum(axis=0))
+        order, edges = _by_class(group)
+        states, places = h[order[: edges[-1]]], token[order[: edges[-1]]] % CLASS_SIZE
+        more = np.empty(edges[-1], out.dtype)
         for k in range(CLASSES):
-            rows = order[edges[k] : edges[k + 1]]
-            if len(rows):
-                inner = h[rows] @ self.p["w"][k] + self.p["wb"][k]
-                out[rows] += inner[np.arange(len(rows)), token[rows] % CLASS_SIZE] - np.log(np.exp(inner).sum(axis=1))
+            rows = slice(edges[k], edges[k + 1])
+            if edges[k] < edges[k + 1]:
+                inner = self.p["w"][k].T @ states[rows].T
+                inner += self.p["wb"][k][:, None]
+                more[rows] = inner[places[rows], np.arange(inner.shape[1])]
+                more[rows] -= np.log(np.exp(inner, out=inner).sum(axis=0))
+        out[order[: edges[-1]]] += more
         return out
 
     def _window(self, h0: np.ndarray, fresh: np.ndarray, x: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -117,49 +143,58 @@ class Gru:
         """
         p, n = self.p, HIDDEN
         steps, streams = x.shape
-        before, kept = [], []
-        h = h0
+        before, kept = np.empty((steps, streams, n), h0.dtype), []
+        h, inputs = h0, self.inputs()
         for t in range(steps):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            before.append(h)
-            h, *gates = self.forward(h, x[t])
+            before[t] = h
+            before[t][fresh[t]] = 0
+            h, *gates = self.forward(before[t], x[t], inputs)
             kept.append(gates)
-        flat, token = np.concatenate(before), x.ravel()
+        flat, token = before.reshape(-1, n), x.ravel()
         g = {k: np.zeros_like(v) for k, v in p.items()}
         scale = np.float32(1 / len(token))
-        group = np.where(token < LEARNED, token // CLASS_SIZE, token - LEARNED + CLASSES)
-        d = np.exp(self._log_softmax(flat @ p["c"] + p["cb"]))
-        d[np.arange(len(token)), group] -= 1
+        group = _classes(token)
+        d = p["c"].T @ flat.T
+        d += p["cb"][:, None]
+        _softmax(d)
+        d[group, np.arange(len(token))] -= 1
         d *= scale
-        g["c"], g["cb"] = flat.T @ d, d.sum(axis=0)
-        dh_out = d @ p["c"].T
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        g["c"], g["cb"] = (d @ flat).T, d.sum(axis=1)
+        dh_out = d.T @ p["c"].T
+        order, edges = _by_class(group)
+        order = order[: edges[-1]]
+        ordered, places = flat[order], token[order] % CLASS_SIZE
+        dh_class = np.empty_like(ordered)
         for k in range(CLASSES):
-            rows = order[edges[k] : edges[k + 1]]
-            if len(rows):
-                d = np.exp(self._log_softmax(flat[rows] @ p["w"][k] + p["wb"][k]))
-                d[np.arange(len(rows)), token[rows] % CLASS_SIZE] -= 1
+            rows = slice(edges[k], edges[k + 1])
+            if edges[k] < edges[k + 1]:
+                d = p["w"][k].T @ ordered[rows].T
+                d += p["wb"][k][:, None]
+                _softmax(d)
+                d[places[rows], np.arange(d.shape[1])] -= 1
                 d *= scale
-                g["w"][k], g["wb"][k] = flat[rows].T @ d, d.sum(axis=0)
-                dh_out[rows] += d @ p["w"][k].T
+                g["w"][k], g["wb"][k] = (d @ ordered[rows]).T, d.sum(axis=1)
+                dh_class[rows] = (p["w"][k] @ d).T
+        dh_out[order] += dh_class
         dh_out = dh_out.reshape(steps, streams, n)
         dh = np.zeros_like(h)
-        das, dgs = [None] * steps, [None] * steps
+        da, dg = np.empty((2, steps, streams, 3 * n), h.dtype)
         for t in range(steps - 1, -1, -1):
             z, r, c, gc = kept[t]
             dc = dh * (1 - z) * (1 - c * c)
             dz = dh * (before[t] - c) * z * (1 - z)
             dr = dc * gc * r * (1 - r)
-            das[t] = np.concatenate([dz, dr, dc], axis=1)
-            dgs[t] = dg = np.concatenate([dz, dr, dc * r], axis=1)
-            dh = (dh * z + dg @ p["u"].T + dh_out[t]) * ~fresh[t][:, None]
-        da = np.concatenate(das)
-        order = np.argsort(token, kind="stable")
-        ids, first = np.unique(token[order], return_index=True)
-        g["x"][ids] = np.add.reduceat(da[order], first, axis=0)
-        g["b"] = da.sum(axis=0)
-        g["u"] = flat.T @ np.concatenate(dgs)
+            np.concatenate([dz, dr, dc], axis=1, out=da[t])
+            np.concatenate([dz, dr, dc * r], axis=1, out=dg[t])
+            dh = dh * z + dg[t] @ p["u"].T + dh_out[t]
+            dh[fresh[t]] = 0
+        da, dg = da.reshape(-1, 3 * n), dg.reshape(-1, 3 * n)
+        order = np.argsort(token.astype(np.uint16), kind="stable")
+        many = np.bincount(token, minlength=LEARNED + SHAPES)
+        ids = np.flatnonzero(many)
+        g["x"][ids] = np.add.reduceat(da[order], (np.cumsum(many) - many)[ids], axis=0)
+        g["b"] = g["x"].sum(axis=0)
+        g["u"] = flat.T @ dg
         return g, h
 
     def train(self, docs: list[np.ndarray], epochs: int = 3, rate: float = 0.01) -> "Gru":
@@ -233,7 +268,7 @@ class Gru:
         flat = np.concatenate([docs[k] for k in order])
         begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         total = np.zeros(len(docs))
-        h = np.zeros((len(docs), HIDDEN), np.float32)
+        h, inputs = np.zeros((len(docs), HIDDEN), np.float32), self.inputs()
         at = 0
         while at < lengths[0]:
             active = int(np.searchsorted(-lengths, -at))  # the longest documents come first
@@ -244,7 +279,7 @@ class Gru:
             h, states = h[:active], np.empty((span, active, HIDDEN), np.float32)
             for t in range(span):
                 states[t] = h
-                h = self.forward(h, x[t])[0]
+                h = self.forward(h, x[t], inputs)[0]
             rows = np.broadcast_to(np.arange(active), (span, active))[inside]
             total += np.bincount(rows, self.log_probability(states[inside], x[inside]), minlength=len(docs))
             at += span
@@ -270,6 +305,8 @@ class Model:
         self.by_hash = np.argsort(self.learned)
         self.sorted = self.learned[self.by_hash]
         self.log_counts = np.log10(self.counts + 1.0)
+        self.id_of = np.full(len(self.frequent), -1, np.int32)  # -1: not learned
+        self.id_of[np.searchsorted(self.frequent, self.learned)] = np.arange(len(self.learned))
         return self
 
     def ids(self, h: np.ndarray) -> np.ndarray:
@@ -429,7 +466,11 @@ def _score(shared):
                     at = np.minimum(np.searchsorted(model.frequent, h), max(len(model.frequent) - 1, 0))
                     seen = model.frequent[at] == h if len(model.frequent) else np.zeros(len(h), bool)
                     logs = float(model.log_counts[at[seen]].sum()) if seen.any() else 0.0
-                    waiting.append((ids[first + k], len(h), int(seen.sum()), logs, h[~seen].view(np.int64), model.ids(h)))
+                    tokens = (LEARNED + (h & np.uint64(7))).astype(np.int32)
+                    if seen.any():
+                        known = model.id_of[at]
+                        tokens = np.where(seen & (known >= 0), known, tokens)
+                    waiting.append((ids[first + k], len(h), int(seen.sum()), logs, h[~seen].view(np.int64), tokens))
                     size += len(h)
                 if size >= TOKENS_AT_ONCE:
                     yield scored()

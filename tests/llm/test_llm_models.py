@@ -182,6 +182,21 @@ def test_state_is_carried_through_windows():
     assert net.documents([x[:5], x, x[:1]])[1] == pytest.approx(want, rel=1e-4)
 
 
+def test_tokens_are_put_in_order_by_class_and_looked_up_once():
+    token = np.random.default_rng(6).integers(0, lm.LEARNED + lm.SHAPES, 5000)
+    order, edges = lm._by_class(lm._classes(token))
+    assert lm._classes(token).dtype == np.uint8  # such values are sorted by counting
+    for k in range(lm.CLASSES):
+        assert (order[edges[k] : edges[k + 1]] == np.flatnonzero(token // lm.CLASS_SIZE == k)).all()
+    logits = np.random.default_rng(7).normal(size=(40, 9)).astype(np.float32)
+    want = np.exp(logits) / np.exp(logits).sum(axis=0)
+    assert lm._softmax(logits) is logits and np.allclose(logits, want, atol=1e-6)
+    frequent = np.arange(100, 4000, 7, dtype=np.uint64)
+    learned = frequent[::-3]
+    model = lm.Model(lm.Gru(), learned, frequent, np.full(len(frequent), 9), 9, 9, np.ones(lm.SHAPES)).prepare()
+    assert (np.where(model.id_of < 0, lm.LEARNED + (frequent & np.uint64(7)).astype(int), model.id_of) == model.ids(frequent)).all()
+
+
 def test_language_model_of_odd_rows(odd):
     rows = lm.likelihoods(odd, odd).collect()
     assert len(rows) == odd.count() and all(np.isfinite(r["score"]) and r["n_tokens"] >= 1 for r in rows)
